@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castleflow.llm import mixing
+from castleflow.llm import mixing, substrings
 from castleflow.llm.common import documents
 
 
@@ -12,8 +12,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(documents(spark, sf_dir), with_text=False)
+
+
 QUERIES = {
     "op4_mixing": op4_mixing,
+    "op9_substrings": op9_substrings,
 }
 
 ORACLES: dict[str, str] = {}
