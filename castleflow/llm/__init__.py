@@ -2,3 +2,10 @@
 
 Nothing else in ``castleflow`` imports this subpackage.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Workers get the functions themselves, so that no executor needs this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

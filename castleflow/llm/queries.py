@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castleflow.llm import mixing, substrings
+from castleflow.llm import mixing, substrings, suffixes
 from castleflow.llm.common import documents
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_suffixes(documents(spark, sf_dir), with_text=False)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -17,6 +21,7 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffixes": op1_suffixes,
     "op4_mixing": op4_mixing,
     "op9_substrings": op9_substrings,
 }
