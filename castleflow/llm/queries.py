@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castleflow.llm import mixing, substrings, suffixes
+from castleflow.llm import lines, mixing, substrings, suffixes
 from castleflow.llm.common import documents
 
 
@@ -20,10 +20,17 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(documents(spark, sf_dir), with_text=False)
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(documents(spark, sf_dir), with_text=False)
+
+
 QUERIES = {
     "op1_suffixes": op1_suffixes,
     "op4_mixing": op4_mixing,
     "op9_substrings": op9_substrings,
+    "op10_lines": op10_lines,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_lines": lines.ORACLE,
+}
