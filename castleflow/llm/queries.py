@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castleflow.llm import lines, mixing, substrings, suffixes
+from castleflow.llm import lines, minhash, mixing, substrings, suffixes
 from castleflow.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), words=4)
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(documents(spark, sf_dir), with_text=False)
 
@@ -27,6 +31,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffixes": op1_suffixes,
     "op4_mixing": op4_mixing,
+    "op6_minhash": op6_minhash,
     "op9_substrings": op9_substrings,
     "op10_lines": op10_lines,
 }
