@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castleflow.llm import lines, minhash, mixing, substrings, suffixes
+from castleflow.llm import lines, minhash, mixing, secrets, substrings, suffixes
 from castleflow.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup_suffixes(documents(spark, sf_dir), with_text=False)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,6 +34,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffixes": op1_suffixes,
+    "op3_secrets": op3_secrets,
     "op4_mixing": op4_mixing,
     "op6_minhash": op6_minhash,
     "op9_substrings": op9_substrings,
