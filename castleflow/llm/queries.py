@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castleflow.llm import lines, minhash, mixing, secrets, substrings, suffixes
+from castleflow.llm import lines, minhash, mixing, quality, secrets, substrings, suffixes
 from castleflow.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=4)
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op1_suffixes": op1_suffixes,
     "op3_secrets": op3_secrets,
     "op4_mixing": op4_mixing,
+    "op5_quality": op5_quality,
     "op6_minhash": op6_minhash,
     "op9_substrings": op9_substrings,
     "op10_lines": op10_lines,
