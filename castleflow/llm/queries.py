@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castleflow.llm import lines, minhash, mixing, quality, secrets, substrings, suffixes
+from castleflow.llm import licenses, lines, minhash, mixing, quality, secrets, substrings, suffixes
 from castleflow.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=4)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(documents(spark, sf_dir))
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(documents(spark, sf_dir), with_text=False)
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_minhash": op6_minhash,
+    "op7_licenses": op7_licenses,
     "op9_substrings": op9_substrings,
     "op10_lines": op10_lines,
 }
