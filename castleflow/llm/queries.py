@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from castleflow.llm import licenses, lines, minhash, mixing, quality, secrets, substrings, suffixes
+from castleflow.llm import licenses, lines, minhash, mixing, neighbours, quality, secrets, substrings, suffixes
 from castleflow.llm.common import documents
 
 
@@ -12,6 +13,10 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup_suffixes(documents(spark, sf_dir), with_text=False)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
@@ -42,6 +47,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffixes": op1_suffixes,
+    "op2_neighbours": op2_neighbours,
     "op3_secrets": op3_secrets,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
