@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castleflow.llm import licenses, lines, minhash, mixing, neighbours, quality, secrets, substrings, suffixes
+from castleflow.llm import leaks, licenses, lines, minhash, mixing, neighbours, quality, secrets, substrings, suffixes
 from castleflow.llm.common import documents
 
 
@@ -37,6 +37,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(documents(spark, sf_dir))
 
 
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(documents(spark, sf_dir), with_text=False)
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_minhash": op6_minhash,
     "op7_licenses": op7_licenses,
+    "op8_leaks": op8_leaks,
     "op9_substrings": op9_substrings,
     "op10_lines": op10_lines,
 }
