@@ -166,6 +166,18 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     return met.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """row, doc_id, n (shingles) and component (the first row of those that can be reached) of keyed documents."""
+    schema = "row long, doc_id long, n long, one long, two long, bands array<long>"
+    sketches = stash(docs.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(_sketch(words), schema), "sketches")
+    same = ["n", "one", "two"]
+    classes = sketches.where("n > 0").groupBy(*same).agg(F.min("row").alias("rep"), F.min_by("bands", "row").alias("bands"))
+    classes = stash(classes, "classes")
+    joined = components(links(docs, classes, words, percent))
+    named = classes.select(*same, "rep").join(joined, classes["rep"] == joined["node"], "left").select(*same, F.coalesce("component", "rep").alias("component"))
+    return sketches.select("row", "doc_id", *same).join(named, same, "left").select("row", "doc_id", "n", F.coalesce("component", "row").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -177,14 +189,15 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, percent: int = SIM
     and only the first of a component is kept. Extra columns are ignored; an empty table gives
     an empty result.
     """
-    docs = keyed(docs)
-    schema = "row long, doc_id long, n long, one long, two long, bands array<long>"
-    sketches = stash(docs.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(_sketch(words), schema), "sketches")
-    same = ["n", "one", "two"]
-    classes = sketches.where("n > 0").groupBy(*same).agg(F.min("row").alias("rep"), F.min_by("bands", "row").alias("bands"))
-    classes = stash(classes, "classes")
-    joined = components(links(docs, classes, words, percent))
-    named = classes.select(*same, "rep").join(joined, classes["rep"] == joined["node"], "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    placed = sketches.select("row", "doc_id", *same).join(named, same, "left").withColumn("component", F.coalesce("component", "row"))
-    names = sketches.select(F.col("row").alias("component"), F.col("doc_id").alias("component_id"))
+    placed = _placed(keyed(docs), words, percent)
+    names = placed.where("row = component").select("component", F.col("doc_id").alias("component_id"))
     return placed.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("component")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, *, words: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
+    """The documents that are the first of their component, with all their columns. Cases as in ``near_duplicates``."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    docs = keyed(docs, *others)
+    dropped = stash(_placed(docs, words, percent).where("row != component").select("row"), "dropped")
+    few = dropped.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, "row", "left_anti").drop("row")

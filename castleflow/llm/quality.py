@@ -76,16 +76,13 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, offs = utf8(batch.column("text"))
         found = [statistics(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in blocks(offs)]
         table = np.concatenate(found) if found else np.zeros((0, len(STATISTICS)))
-        others = [batch.column(c) for c in batch.schema.names if c != "text"]
-        names = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*others, *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(len(STATISTICS)))], [*names, *(f"_{s}" for s in STATISTICS)])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(len(STATISTICS)))], [*batch.schema.names, *(f"_{s}" for s in STATISTICS)])
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with its text replaced by the statistics, as columns _n_words and so on."""
-    kept = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"_{s} double" for s in STATISTICS)])
-    return docs.select(*(f"`{f.name}`" for f in kept), "text").mapInArrow(_measure, schema)
+    """``docs`` with the statistics of its text, as columns _n_words and so on."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"_{s} double" for s in STATISTICS)])
+    return docs.mapInArrow(_measure, schema)
 
 
 # --- learning -----------------------------------------------------------------------------
@@ -210,23 +207,29 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     # bounded by ``sample`` rows of two numbers, and so safe to broadcast
-    rows = measured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).toPandas()
+    rows = measured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).drop("text").toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")
     return learn(rows[[f"_{s}" for s in STATISTICS]].to_numpy(float), (rows["quality"] > 0).to_numpy(float))
 
 
-def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without its text, with held_out, score and predicted.
-
-    Statistics use the whole text. A null or empty text has no words and gets the score of a
-    document whose statistics are all 0. Rows that repeat get the same score. Columns besides
-    doc_id and text never enter a score.
-    """
-    others = [c for c in docs.columns if c != "text"]
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with its score as a column _score; the statistics use the whole text."""
     scored = measured(docs).withColumn("_score", model.column())
-    return scored.select(*(f"`{c}`" for c in others), held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= threshold, 1).otherwise(0).alias("predicted"))
+    return scored.select(*(f"`{c}`" for c in docs.columns), "_score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document. Without any label the score is 0.5."""
-    return score(docs.select("doc_id", "text"), train(docs, labels, sample=sample), threshold=threshold)
+    """doc_id, held_out, score and predicted of every document.
+
+    A null or empty text has no words and gets the score of a document whose statistics are all
+    0. Rows that repeat get the same score. Columns besides text never enter a score. Without
+    any label the score is 0.5; with one kind of label only, it is the same for all.
+    """
+    scored = score(docs.select("doc_id", "text"), train(docs, labels, sample=sample))
+    predicted = F.when(F.col("_score") >= threshold, 1).otherwise(0)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), predicted.alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, whose score reaches ``threshold``. Cases as in ``classify``."""
+    return score(docs, train(docs, labels, sample=sample)).where(F.col("_score") >= threshold).drop("_score")
