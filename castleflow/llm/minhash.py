@@ -7,9 +7,9 @@
 2. Documents with equal sets become one class; all that follows works on classes, so that a
    text with any number of copies is one row.
 3. Four bins make a band and each band of a class a bucket key. A pair at similarity 0.8 misses
-   all 32 bands once in 20 million. Of a bucket's members each is paired with two centres only,
-   the members with the least and greatest seeded hash: pairs grow with rows, not their square.
-   Centres differ from band to band.
+   all 32 bands once in 20 million. A bucket's members are each paired with its centre only, the
+   member with the least seeded hash: pairs grow with rows, not with their square. Centres
+   differ from band to band, so that a class meets up to 32 of them.
 4. Pairs are confirmed on the full sets. A class with many pairs is salted, so that its set
    meets about a thousand partners in a task.
 5. Components of the confirmed links come from alternating stars.
@@ -148,8 +148,8 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     """Confirmed links (a, b) between classes (rep, n, bands) of the keyed documents."""
     bands = classes.select("rep", "n", F.explode("bands").alias("key"))
     member = F.struct(F.xxhash64("rep", "key").alias("order"), "rep", "n")
-    stars = bands.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    spokes = bands.join(stars, "key").select("rep", "n", F.explode(F.array("low", "high")).alias("centre"))
+    stars = bands.groupBy("key").agg(F.min(member).alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    spokes = bands.join(stars, "key").select("rep", "n", "centre")
     sizes_allow = 100 * F.least("n", "centre.n") >= percent * F.greatest("n", "centre.n")
     pairs = spokes.where((F.col("rep") != F.col("centre.rep")) & sizes_allow)
     pairs = stash(pairs.select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct(), "pairs")
