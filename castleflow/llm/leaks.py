@@ -3,9 +3,9 @@
 1. Passage frequencies of the benchmark's words over all documents give TF-IDF weights.
 2. A randomised SVD (Halko, Martinsson and Tropp, 2011) of the passages' TF-IDF matrix A: each
    partition adds up its part of A'(A W) for a random W, Spark sums these, and the driver
-   factors the result, whose size is words of the benchmark times 64. The benchmark's own rows
+   factors the result, whose size is words of the benchmark times 40. The benchmark's own rows
    are merged into the factors by a second, small SVD, so that every item lies in the latent space.
-3. Each document is projected in steps of 16 words; sums of neighbouring steps are windows as
+3. Each document is projected in steps of 8 words; sums of neighbouring steps are windows as
    long as an item plus one step, and their cosines with all items come from one matrix product.
 4. Candidates above a low cosine are confirmed: the longest common subsequence of words has to
    reach a share of the item, and the words of its answer have to be there. So edited and
@@ -16,8 +16,10 @@ A benchmark is handled in groups of ``ITEMS`` items, which bounds all that is se
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,11 @@ from castleflow.llm.common import ALNUM, blocks, range_hash, stash, utf8, word_b
 ITEMS = 1024
 #: Items of one latent space; a group holds several.
 SPACE = 256
-STEP, PASSAGE = 16, 64
-SKETCH, RANK = 64, 48
-COSINE, SHARE, ANSWER, SURE = 0.3, 0.6, 0.5, 0.9
+STEP, PASSAGE = 8, 64
+SKETCH, RANK = 40, 32
+#: Bunches of items whose products are bounded together.
+BUNCHES = 16
+COSINE, SHARE, ANSWER, SURE = 0.4, 0.6, 0.5, 0.9
 #: Items of fewer words would be met by chance and are left out.
 LEAST_WORDS = 5
 #: Rarest words of an item that stand for its answer where the benchmark has none.
@@ -122,6 +126,14 @@ class Item:
     def steps(self) -> int:
         return -(-len(self.words) // STEP) + 1
 
+    @cached_property
+    def times(self) -> Counter[int]:
+        return Counter(self.words)
+
+    def may_share(self, text: list[int]) -> float:
+        """No common subsequence is a larger share than the item's places whose word stands in the text."""
+        return sum(map(self.times.__getitem__, self.times.keys() & text)) / len(self.words)
+
 
 @dataclass(frozen=True)
 class Latent:
@@ -130,6 +142,8 @@ class Latent:
     basis: np.ndarray
     images: np.ndarray
     items: tuple[Item, ...]
+    #: Of each word, the most that one occurrence adds to the product with any item of each of BUNCHES bunches.
+    most: np.ndarray
 
 
 def common_subsequence(a: tuple[int, ...], b: list[int]) -> int:
@@ -145,6 +159,62 @@ def common_subsequence(a: tuple[int, ...], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def _windows(values: np.ndarray, doc: np.ndarray, steps: int) -> np.ndarray:
+    """Sums over ``steps`` neighbours from each place on, none across documents."""
+    out, n = values.copy(), len(values)
+    for k in range(1, min(steps, n)):
+        inside = np.flatnonzero(doc[k:] == doc[: n - k])
+        out[inside] += values[inside + k]
+    return out
+
+
+def _search_space(space: Latent, words, first, cuts, doc, number, step, head, norm, best: dict[tuple[int, int], tuple]) -> None:
+    """Confirmed items of one space, into ``best``.
+
+    No cosine of a window exceeds the sum of what its words can add at most. Windows that this
+    sum keeps below the threshold are not projected; that leaves out nothing.
+    """
+    n = len(cuts) - 1
+    bound = np.zeros((n, BUNCHES), np.float32)
+    bound[step[head]] = np.add.reduceat(space.most[number], head)
+    chosen: dict[int, np.ndarray] = {}
+    needed = np.zeros(n + 1, np.int64)
+    for steps in sorted({i.steps for i in space.items}):
+        chosen[steps] = w = np.flatnonzero(_windows(bound, doc, steps).max(1) >= 0.999 * COSINE * np.sqrt(_windows(norm, doc, steps)))
+        np.add.at(needed, w, 1)
+        np.add.at(needed, np.minimum(w + steps, n), -1)
+    place = np.cumsum(np.cumsum(needed[:n]) > 0) - 1
+    of_token = np.cumsum(needed[:n])[step] > 0
+    if not of_token.any():
+        return
+    step, number = step[of_token], number[of_token]
+    head = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
+    z = np.zeros((int(place[-1]) + 1, space.basis.shape[1]), np.float32)
+    z[place[step[head]]] = np.add.reduceat(space.basis[number], head)
+    for steps, w in chosen.items():
+        if not len(w):
+            continue
+        window, length = z[place[w]], norm[w].copy()
+        for k in range(1, steps):
+            inside = np.flatnonzero(doc[np.minimum(w + k, n - 1)] == doc[w]) if n else w
+            inside = inside[w[inside] + k < n]
+            window[inside] += z[place[w[inside] + k]]
+            length[inside] += norm[w[inside] + k]
+        own = [i for i, item in enumerate(space.items) if item.steps == steps]
+        cosine = window @ space.images[own].T / np.sqrt(np.maximum(length, 1e-9))[:, None].astype(np.float32)
+        for x, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
+            item, at = space.items[own[i]], int(w[x])
+            d = int(doc[at])
+            text = words[cuts[at] : min(cuts[min(at + steps, n)], first[d + 1])].tolist()
+            if item.may_share(text) < SHARE:
+                continue
+            share = common_subsequence(item.words, text) / len(item.words)
+            answer = len(item.answer.intersection(text)) / max(1, len(item.answer))
+            key = (d, item.item_id)
+            if share >= SHARE and (answer >= ANSWER or share >= SURE) and (share, answer) > best.get(key, (0, 0))[:2]:
+                best[key] = (share, answer, min(1.0, float(cosine[x, i])), int(cuts[at] - first[d]))
+
+
 def _search(vocabulary: Vocabulary, idf: np.ndarray, other: float, spaces: tuple[Latent, ...]):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, words, first in _text_blocks(batches):
@@ -160,25 +230,7 @@ def _search(vocabulary: Vocabulary, idf: np.ndarray, other: float, spaces: tuple
                 norm[step[head]] += np.add.reduceat(idf[number] ** 2, head) - known * other**2
                 doc = np.searchsorted(first, cuts[:-1], "right") - 1
                 for space in spaces:
-                    z = np.zeros((n, space.basis.shape[1]), np.float32)
-                    z[step[head]] = np.add.reduceat(space.basis[number], head)
-                    window, length, reach = z.copy(), norm.copy(), 1
-                    for steps in sorted({i.steps for i in space.items}):
-                        while reach < steps:
-                            inside = np.flatnonzero(doc[reach:] == doc[: n - reach]) if reach < n else np.zeros(0, int)
-                            window[inside] += z[inside + reach]
-                            length[inside] += norm[inside + reach]
-                            reach += 1
-                        own = [i for i, item in enumerate(space.items) if item.steps == steps]
-                        cosine = window @ space.images[own].T / np.sqrt(np.maximum(length, 1e-9))[:, None].astype(np.float32)
-                        for w, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                            item, d = space.items[own[i]], int(doc[w])
-                            text = words[cuts[w] : min(cuts[min(w + steps, n)], first[d + 1])].tolist()
-                            share = common_subsequence(item.words, text) / len(item.words)
-                            answer = len(item.answer.intersection(text)) / max(1, len(item.answer))
-                            key = (d, item.item_id)
-                            if share >= SHARE and (answer >= ANSWER or share >= SURE) and (share, answer) > best.get(key, (0, 0))[:2]:
-                                best[key] = (share, answer, min(1.0, float(cosine[w, i])), int(cuts[w] - first[d]))
+                    _search_space(space, words, first, cuts, doc, number, step, head, norm, best)
             rows = sorted(best.items())
             ids = batch.column("row").take(pa.array([a + d for (d, _), _ in rows], pa.int64()))
             columns = [pa.array([x[1][k] for x in rows], t) for k, t in enumerate((pa.float64(), pa.float64(), pa.float64(), pa.int64()))]
@@ -215,7 +267,8 @@ def _spaces(items: list[Item], vocabulary: Vocabulary, idf: np.ndarray, corpus:
         rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
         _, s, vt = np.linalg.svd(np.vstack([corpus.T, rows]), full_matrices=False)
         basis = vt[s > 1e-6 * s.max()].T
-        out.append(Latent((idf[:, None] * basis).astype(np.float32), (rows @ basis).astype(np.float32), part))
+        most = np.stack([idf * rows[i::BUNCHES].max(0, initial=0.0) for i in range(BUNCHES)], 1)
+        out.append(Latent((idf[:, None] * basis).astype(np.float32), (rows @ basis).astype(np.float32), part, most.astype(np.float32)))
     return tuple(out)
 
 
