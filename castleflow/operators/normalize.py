@@ -41,7 +41,8 @@ def explode_lines(payloads: DataFrame, body: str, schema: str) -> DataFrame:
 
 def fold_stats(body: Column) -> Column:
     """struct(count_win, count_loss, count_draw, count_all) over all entries that hold a record; 0 becomes null."""
-    entries = F.map_values(F.from_json(body, "map<string, struct<record: struct<win: bigint, loss: bigint, draw: bigint>>>"))
+    # entries are read one by one: what is no object has no record
+    entries = F.transform(F.map_values(F.from_json(body, "map<string, string>")), lambda e: F.from_json(e, "struct<record: struct<win: bigint, loss: bigint, draw: bigint>>"))
     total = lambda part: F.aggregate(entries, F.lit(0).cast("bigint"), lambda a, e: a + F.coalesce(e["record"][part], F.lit(0).cast("bigint")))
     none_if_0 = lambda c: F.nullif(c, F.lit(0).cast("bigint"))
     win, loss, draw = total("win"), total("loss"), total("draw")
@@ -72,8 +73,9 @@ def chesscom_games(rows: DataFrame) -> DataFrame:
     g = F.col("record")
     text = lambda name: codes.text_or_null(g[name])
     result = lambda c: codes.text_or_null(g[c]["result"])
-    o = codes.outcome_of_seats(result("white"), result("black"))
-    klass = codes.time_class(F.coalesce(text("time_class"), F.lit("rapid")))
+    # what several columns need is computed once, in a projection of its own
+    rows = rows.withColumns({"_outcome": codes.outcome_of_seats(result("white"), result("black")), "_class": codes.time_class(F.coalesce(text("time_class"), F.lit("rapid")))})
+    o, klass = F.col("_outcome"), F.col("_class")
     native = F.coalesce(text("rules"), F.lit("chess"))
     flag = F.when(g["rated"].isNotNull(), _truth(g["rated"]))
     hashed = lambda c: F.struct(_number(g[c]["rating"]).alias("rating"), g[c]["result"].alias("result"), g[c]["username"].alias("username"))
@@ -93,8 +95,8 @@ def lichess_games(rows: DataFrame) -> DataFrame:
     g = F.col("record")
     text = lambda name: codes.text_or_null(g[name])
     winner = text("winner")
-    o = codes.outcome_of_status(winner, text("status"))
-    speed = F.coalesce(text("speed"), text("perf"), F.lit("rapid"))
+    rows = rows.withColumns({"_outcome": codes.outcome_of_status(winner, text("status")), "_speed": F.coalesce(text("speed"), text("perf"), F.lit("rapid"))})
+    o, speed = F.col("_outcome"), F.col("_speed")
     native = F.coalesce(text("variant"), F.lit("standard"))
     label = codes.clock_label(codes.int_or_null(g["clock"]["initial"]), codes.int_or_null(g["clock"]["increment"]), speed)
     player = lambda c: g["players"][c]
@@ -118,14 +120,14 @@ def lichess_games(rows: DataFrame) -> DataFrame:
 
 
 def _staged(rows, provider, game_id, url, content, native, label, klass, rated, o, status, created, ended, eco, opening, ply, white, black) -> DataFrame:
-    v = codes.variant(F.lit(provider), native)
-    control = codes.time_control(label, klass)
-    rest = [c for c in rows.columns if c not in ("record", "provider")]
-    staged = rows.where("record is not null").select(
-        *rest, F.lit(provider).alias("provider"), game_id.alias("provider_game_id"), url.alias("canonical_url"), content.alias("content_hash"), native.alias("variant_raw"), v["canonical"].alias("variant"), v["mapped"].alias("mapped"), control.alias("control"),
+    rest = [c for c in rows.columns if c not in ("record", "provider", "_outcome", "_class", "_speed")]
+    parsed = rows.where("record is not null").select(
+        *rest, F.lit(provider).alias("provider"), game_id.alias("provider_game_id"), url.alias("canonical_url"), content.alias("content_hash"), native.alias("variant_raw"), label.alias("_label"), klass.alias("_class"),
         _truth(rated).alias("rated"), o["outcome"].alias("outcome"), o["is_live"].alias("is_live"), status.alias("status_raw"), created.alias("created_at"), ended.alias("ended_at"),
         F.lit(None).cast("bigint").alias("ply_count"), eco.alias("eco"), opening.alias("opening_name"), ply.alias("opening_ply"), F.lit(None).cast("string").alias("tournament_ref"), white, black,
     )
+    named = parsed.withColumns({"_variant": codes.variant(F.lit(provider), F.col("variant_raw")), "control": codes.time_control(F.col("_label"), F.col("_class"))})
+    staged = named.withColumns({"variant": F.col("_variant.canonical"), "mapped": F.col("_variant.mapped")}).drop("_variant", "_label", "_class")
     # after the positions are given: later games keep theirs
     return staged.where("variant != 'bughouse'")
 
