@@ -39,7 +39,7 @@ BUNCHES = 16
 COSINE, SHARE, ANSWER, SURE = 0.4, 0.6, 0.5, 0.9
 #: Items of fewer words would be met by chance and are left out.
 LEAST_WORDS = 5
-#: Rarest words of an item that stand for its answer where the benchmark has none.
+#: Closing words of an item that stand for its answer where the benchmark has none.
 KEYS = 5
 
 
@@ -239,15 +239,11 @@ def _search(vocabulary: Vocabulary, idf: np.ndarray, other: float, spaces: tuple
     return of
 
 
-def _read_items(rows: list, vocabulary: Vocabulary, idf: np.ndarray) -> list[Item]:
+def _read_items(rows: list[dict]) -> list[Item]:
     items = []
     for r in rows:
         words = _hashes(r["text"])
-        at, number = vocabulary.find(words)
-        answer = _hashes(r["answer"]).tolist() if "answer" in r and r["answer"] else None
-        if answer is None:
-            rare = sorted(dict(zip(words[at].tolist(), idf[number].tolist(), strict=True)).items(), key=lambda x: (-x[1], x[0]))
-            answer = [w for w, _ in rare[:KEYS]]
+        answer = _hashes(r["answer"]).tolist() if r.get("answer") else words[-KEYS:].tolist()
         items.append(Item(r["item_id"], tuple(words.tolist()), frozenset(answer)))
     return items
 
@@ -278,7 +274,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, seed: int = 11) -> Data
     One row for each document and item, with the best window. Words are runs of letters and
     digits in lower case. lcs_share is the longest common subsequence over the item's
     length, answer_share the part of the item's answer words that the window holds (a column
-    ``answer``, else the item's five rarest words). Null and empty texts hold nothing; items
+    ``answer``, else the item's five closing words). Null and empty texts hold nothing; items
     of under ``LEAST_WORDS`` words are left out, as are those with a null item_id; equal items
     are each reported. Where doc_id repeats or is null, each row is judged for itself. Extra
     columns are ignored; an empty table gives an empty result.
@@ -315,5 +311,5 @@ def _leaks_of(text: DataFrame, rows: list[dict], seed: int) -> DataFrame:
     image = np.zeros((len(idf), SKETCH))
     image[sketch["word"].to_numpy(int)] = sketch.drop(columns="word").to_numpy()
     corpus = np.linalg.svd(image, full_matrices=False)[0][:, :RANK]
-    spaces = _spaces(_read_items(rows, vocabulary, idf), vocabulary, idf, corpus)
+    spaces = _spaces(_read_items(rows), vocabulary, idf, corpus)
     return stash(text.mapInArrow(_search(vocabulary, idf, other, spaces), LEAKS), "leaks")
