@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised block holds; bounds a worker's arrays.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 M64 = (1 << 64) - 1
 
 
@@ -48,6 +49,17 @@ def parts_for(df: DataFrame, each: int) -> int:
     return max(least, min(-(-input_bytes(df) // each), 1 << 20))
 
 
+#: Bytes up to which a narrow table is sent to all executors instead of shuffling the texts it is joined with.
+SEND_BYTES = 32 << 20
+
+
+def sendable(df: DataFrame, weight: Column, label: str, limit: int = SEND_BYTES) -> DataFrame:
+    """``df`` written down, and marked for broadcast if the sum of ``weight`` (bytes of a row) is within the limit."""
+    df = stash(df, label)
+    size = df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 # --- vectorised text ----------------------------------------------------------------------
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castleflow.llm.common import blocks, range_hash, utf8, word_bounds
+from castleflow.llm.common import blocks, range_hash, sendable, utf8, word_bounds
 from castleflow.llm.repeats import Plan, covered, keyed, late_spans
 from castleflow.llm.substrings import extend
 
@@ -99,9 +99,10 @@ def dedup_lines(docs: DataFrame, *, run_lines: int = RUN_LINES, long_words: int
     aren't named in ``keep`` are ignored; an empty table gives an empty result.
     """
     docs = keyed(docs, *keep)
-    runs = late_spans(docs, Plan(line_symbols, run_lines, 1), extend, np.uint64, "lines")
-    longs = late_spans(docs, Plan(long_line_symbols(long_words), 1, 1), extend, np.uint64, "long-lines").withColumnRenamed("spans", "long_spans")
-    late = runs.join(longs, "row", "full")
+    runs = late_spans(docs, Plan(line_symbols, run_lines, 1), extend, np.uint64, "lines", few=True)
+    longs = late_spans(docs, Plan(long_line_symbols(long_words), 1, 1), extend, np.uint64, "long-lines", few=True).withColumnRenamed("spans", "long_spans")
+    weight = 24 + 8 * (F.coalesce(F.size("spans"), F.lit(0)) + F.coalesce(F.size("long_spans"), F.lit(0)))
+    late = sendable(runs.join(longs, "row", "full"), weight, "late-lines")
     types = dict(docs.dtypes)
     schema = ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in keep), "n_lines long", "n_removed long", "kept_sha256 string", *["kept string"] * with_text])
     table = docs.join(late, "row", "left").select(F.col("doc_id").cast("long"), "text", *keep, "spans", "long_spans")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castleflow.llm.common import FIRST, SECOND, blocks, mix64, parts_for, range_hash, stash, utf8
+from castleflow.llm.common import FIRST, SECOND, blocks, mix64, parts_for, range_hash, sendable, stash, utf8
 
 #: Low bits of a sort key that hold a position; longer symbol arrays are cut, with overlap.
 PLACE_BITS = 24
@@ -296,14 +296,19 @@ def spans_of(bucket: Bucket, run: np.ndarray, offset: np.ndarray, late: np.ndarr
     return pa.table({"row": pa.array(bucket.row[run[new]], pa.int64()), "start": pa.array((bucket.start[run[new]] + offset[new]).astype(np.int32)), "count": pa.array(count.astype(np.int32))})
 
 
-def late_spans(docs: DataFrame, plan: Plan, resolver: Callable[[Bucket, int], pa.Table], kind: type, label: str) -> DataFrame:
-    """One row (row, spans) for each document with late windows. ``docs`` needs row and text."""
+def late_spans(docs: DataFrame, plan: Plan, resolver: Callable[[Bucket, int], pa.Table], kind: type, label: str, *, few: bool = False) -> DataFrame:
+    """One row (row, spans) for each document with late windows. ``docs`` needs row and text.
+
+    ``few``: marks are far smaller than the texts, as with lines, so that it pays to see if they can be sent.
+    """
     buckets = 1 << (4 * parts_for(docs, 16 << 20) - 1).bit_length()
     buckets = min(buckets, 1 << 24)
     text = docs.select("row", "text")
     met = text.mapInArrow(_runs(plan, buckets), BLOB).groupBy("bucket").applyInArrow(_meet, MARK)
     marks = stash(met, f"{label}-marks")
     asked = marks.where("anchor is not null").groupBy("row").agg(F.collect_list(F.struct("start", "count", "anchor")).alias("asked"))
+    if few:
+        asked = sendable(asked, 24 + 16 * F.size("asked"), f"{label}-asked")
     held = text.join(asked, "row").select("row", "text", "asked")
 
     def resolve(table: pa.Table) -> pa.Table:
