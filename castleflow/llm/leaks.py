@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castleflow.llm.common import ALNUM, blocks, range_hash, stash, utf8, word_bounds
+from castleflow.llm.common import ALNUM, BLOCK_BYTES, blocks, range_hash, stash, utf8, word_bounds
 
 ITEMS = 1024
 #: Items of one latent space; a group holds several.
@@ -72,7 +72,8 @@ class Vocabulary:
 def _text_blocks(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         raw, offs = utf8(pc.utf8_lower(batch.column("text")))
-        for a, b in blocks(offs):
+        # each word in a block takes a row of the latent basis while it is projected
+        for a, b in blocks(offs, BLOCK_BYTES // 2):
             yield batch, a, *words_of(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
 
 
