@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castleflow.llm.common import FIRST, LOWER, SECOND, blocks, mix64, range_hash, stash, utf8, word_bounds
+from castleflow.llm.common import FIRST, LOWER, SECOND, SEND_BYTES, blocks, mix64, range_hash, stash, utf8, word_bounds
 from castleflow.llm.components import components
 from castleflow.llm.repeats import keyed
 
@@ -146,13 +146,15 @@ def _confirm(percent: int):
 
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between classes (rep, n, bands) of the keyed documents."""
-    bands = classes.select("rep", "n", F.explode("bands").alias("key"))
-    member = F.struct(F.xxhash64("rep", "key").alias("order"), "rep", "n")
-    stars = bands.groupBy("key").agg(F.min(member).alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    spokes = bands.join(stars, "key").select("rep", "n", "centre")
-    sizes_allow = 100 * F.least("n", "centre.n") >= percent * F.greatest("n", "centre.n")
-    pairs = spokes.where((F.col("rep") != F.col("centre.rep")) & sizes_allow)
-    pairs = stash(pairs.select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct(), "pairs")
+    bands = classes.select("rep", F.explode("bands").alias("key"))
+    # in a bucket, rep ^ hash(key) orders the members as a hash would, and gives the least one back
+    veil = F.xxhash64("key")
+    stars = bands.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(veil)).alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    spokes = bands.join(stars, "key").select("rep", F.col("least").bitwiseXOR(veil).alias("centre")).where("rep != centre")
+    ends = stash(spokes.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "candidates")
+    size = lambda end: classes.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"))
+    sizes_allow = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    pairs = stash(ends.join(size("a"), "a").join(size("b"), "b").where(sizes_allow).select("a", "b"), "pairs")
     # b meets a: salt what many b share
     ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     ids = stash(ids, "pair-ids")
@@ -160,9 +162,12 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     texts = docs.select("row", "text").join(F.broadcast(ids) if few else ids, "row")
     sets = stash(texts.mapInArrow(_sets(words), "row long, shingles binary"), "sets")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("long").alias("salts"))
-    left = sets.join(salts, sets["row"] == salts["a"]).select("a", "salts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("shingles").alias("x"))
-    right = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts"))).join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
-    met = left.select("a", "salt", "x").join(right.select("a", "salt", "b", "y"), ["a", "salt"])
+    salted = stash(pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")), "salted")
+    # pairs are narrow: while they fit, they go to the sets; else both are shuffled
+    sent = F.broadcast if 24 * salted.count() <= SEND_BYTES else lambda df: df
+    left = sets.join(sent(salted.select(F.col("a").alias("row"), "salt").distinct()), "row").select(F.col("row").alias("a"), "salt", F.col("shingles").alias("x"))
+    right = sets.join(sent(salted.withColumn("row", F.col("b"))), "row").select("a", "salt", "b", F.col("shingles").alias("y"))
+    met = left.join(right, ["a", "salt"])
     return met.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
 
@@ -197,7 +202,8 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, percent: int = SIM
 def drop_near_duplicates(docs: DataFrame, *, words: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
     """The documents that are the first of their component, with all their columns. Cases as in ``near_duplicates``."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    docs = keyed(docs, *others)
+    # in one struct, so that their names can't clash
+    docs = keyed(docs.withColumn("_rest", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others))), "_rest")
     dropped = stash(_placed(docs, words, percent).where("row != component").select("row"), "dropped")
     few = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, "row", "left_anti").drop("row")
+    return docs.join(F.broadcast(dropped) if few else dropped, "row", "left_anti").select("doc_id", "text", *(F.col("_rest").getField(c).alias(c) for c in others))
