@@ -94,6 +94,7 @@ def app(spark, tmp_path, monkeypatch):
     return lambda *argv: cli.run([*argv, *([] if argv[0] == "provider" else ["--archive", f"file://{tmp_path}/archive"])], made)
 
 
+@pytest.mark.slow
 def test_workflow(app, capsys, tmp_path):
     assert app("query", "user", "lichess", "samename") == 1  # nothing is made by reading
     assert app("init") == 0 and "Applied migrations: 0001_init" in capsys.readouterr().out
@@ -122,6 +123,7 @@ def test_workflow(app, capsys, tmp_path):
     assert app("export", "users", "--format", "jsonl", "--provider", "lichess") == 0 and '"username_normalized":"samename"' in capsys.readouterr().out
 
 
+@pytest.mark.slow
 def test_stream_takes_each_file_once(spark, tmp_path):
     from pyspark.sql import functions as F
 

@@ -54,6 +54,7 @@ def rows(df, *order):
     return [r.asDict(recursive=True) for r in df.orderBy(*order).collect()]
 
 
+@pytest.mark.slow
 def test_month_and_stream(archive):
     lines = "\n".join(["", json.dumps(li_game("lichgame1")), "   ", json.dumps(li_game("live1", status="started", winner=None, lastMoveAt=None)), ""]).encode()
     month = {"games": [cc_game("u1"), cc_game("u2", rules="bughouse"), cc_game("u3", black="SameName", results=("agreed", "agreed"))]}
@@ -78,6 +79,7 @@ def test_month_and_stream(archive):
     assert before == {t: rows(archive.table(t), "id") for t in before}
 
 
+@pytest.mark.slow
 def test_late_observation_updates_the_game(archive):
     take(archive, answer(STREAM, json.dumps(li_game("g1", status="started", winner=None, lastMoveAt=None)).encode()))
     later = providers.game("g1")
@@ -87,6 +89,7 @@ def test_late_observation_updates_the_game(archive):
     assert archive.table("source_records").where("entity_type = 'game'").count() == 2
 
 
+@pytest.mark.slow
 def test_profiles_stats_and_renames(archive):
     profile = {"username": "SameName", "player_id": 12345, "title": "NM", "followers": 42, "country": "US", "joined": 1, "status": "premium"}
     stats = {"chess_blitz": {"record": {"win": 10, "loss": 5, "draw": 2}}, "chess_rapid": {"record": {"win": 3, "loss": 1, "draw": 1}}, "fide": 0}
@@ -108,6 +111,7 @@ def test_profiles_stats_and_renames(archive):
     assert [(s["captured_at"], s["count_all"], s["count_win"], s["patron"]) for s in own] == [(NOW + 7, 100, 40, True)]
 
 
+@pytest.mark.slow
 def test_unreadable_payloads_stay_pending_and_others_go_through(archive):
     odd = answer(MONTH, {"games": [cc_game("ok"), cc_game("odd", time_class="custom")]})
     broken = answer(providers.monthly_archive("SameName", 2024, 2), b"{not json")
@@ -119,6 +123,7 @@ def test_unreadable_payloads_stay_pending_and_others_go_through(archive):
     assert archive.table("errors").count() == 2 and archive.table("games").count() == 1
 
 
+@pytest.mark.slow
 def test_attempts_errors_and_validators(archive):
     headers = {"etag": '"a"', "last-modified": "Mon"}
     gone = answer(providers.user_profile("chess.com", "gone"), None, 410)
@@ -132,6 +137,7 @@ def test_attempts_errors_and_validators(archive):
     assert (v["etag"], v["last_modified"]) == ('"a"', "Mon")
 
 
+@pytest.mark.slow
 def test_commits_are_checked_and_atomic(archive, spark):
     users = archive.table("provider_users")
     bad = spark.createDataFrame([(1, "nowhere", None, "x", "x", None, None, 1, 1)], users.schema)
@@ -148,6 +154,7 @@ def test_commits_are_checked_and_atomic(archive, spark):
     assert archive.vacuum() >= 0 and archive.summary()["providers"] == ["chess.com", "lichess"] and archive.summary()["tables"] == 16
 
 
+@pytest.mark.slow
 def test_corrupted_body_is_an_error(archive):
     ingest.land(archive, ingest.landed(archive.spark, [answer(MONTH, {"games": []})]))
     raw = archive.table("raw_payloads").withColumn("raw_body", F.lit(b"x"))
