@@ -7,12 +7,15 @@
 2. Documents with equal sets become one class; all that follows works on classes, so that a
    text with any number of copies is one row.
 3. Four bins make a band and each band of a class a bucket key. A pair at similarity 0.8 misses
-   all 32 bands once in 20 million. A bucket's members are each paired with its centre only, the
-   member with the least seeded hash: pairs grow with rows, not with their square. Centres
-   differ from band to band, so that a class meets up to 32 of them.
+   all 32 bands once in 20 million. A bucket's members are each paired with its centre first, the
+   member with the least seeded hash: these pairs grow with rows, not with their square.
 4. Pairs are confirmed on the full sets. A class with many pairs is salted, so that its set
    meets about a thousand partners in a task.
 5. Components of the confirmed links come from alternating stars.
+6. Buckets whose members these links leave in several components are open. There, all members of
+   different components are compared, in cells of two blocks of members: no pair that meets in a
+   bucket is left out, unless its ends are joined already. A pair that meets in several buckets is
+   compared in the first. The links found join the components.
 """
 
 from __future__ import annotations
@@ -37,6 +40,10 @@ PROBES = 64
 BROADCAST_IDS = 500_000
 #: Partners of one class that one task handles.
 PARTNERS = 1000
+#: Members of an open bucket that make a block; two blocks make a cell.
+MEMBERS = 512
+#: Shingles whose places in a cell's sets are multiplied at a time.
+COLUMNS = 4096
 
 _PROBE = (mix64(np.arange(BINS * PROBES, dtype=np.uint64) + np.uint64(0x51ED27)) % np.uint64(BINS)).astype(np.int64).reshape(BINS, PROBES)
 
@@ -144,23 +151,92 @@ def _confirm(percent: int):
     return of
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between classes (rep, n, bands) of the keyed documents."""
-    bands = classes.select("rep", F.explode("bands").alias("key"))
+def _shared(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Common shingles of every two of the sets."""
+    n = len(first) - 1
+    owner = np.repeat(np.arange(n), np.diff(first))
+    _, number, count = np.unique(values, return_inverse=True, return_counts=True)
+    # a shingle of one set alone is in no intersection
+    held = count[number] > 1
+    column = (np.cumsum(count > 1) - 1)[number[held]]
+    owner = owner[held]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((n, n), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (a, a + COLUMNS))
+        block = np.zeros((n, min(COLUMNS, int(column[-1]) + 1 - a)), np.float32)
+        block[owner[lo:hi], column[lo:hi] - a] = 1
+        out += block @ block.T
+    return out
+
+
+def _open_pairs(cell: pa.Table, percent: int) -> np.ndarray:
+    """Which pairs of a cell's members this cell has to compare."""
+    part, comp, size = (cell.column(c).to_numpy() for c in ("part", "comp", "n"))
+    bands = cell.column("bands").combine_chunks().flatten().to_numpy().reshape(len(part), -1)
+    pairs = np.triu(comp[:, None] != comp, 1)
+    if part.any():
+        pairs &= part[:, None] != part
+    pairs &= 100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size)
+    for k in range(cell.column("band")[0].as_py()):
+        pairs &= bands[:, None, k] != bands[:, k]
+    return pairs
+
+
+def _needed(percent: int):
+    def of(cell: pa.Table) -> pa.Table:
+        pairs = _open_pairs(cell, percent)
+        return cell.filter(pa.array(pairs.any(0) | pairs.any(1)))
+
+    return of
+
+
+def _meet(percent: int):
+    """Links between the components of a cell, as few as join all that are linked."""
+
+    def of(cell: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in cell.column("shingles")]
+        first = np.cumsum([0, *map(len, sets)])
+        size, rep, comp = np.diff(first), cell.column("rep").to_numpy(), cell.column("comp").to_numpy().copy()
+        same = _shared(np.concatenate(sets), first)
+        x, y = np.nonzero(_open_pairs(cell, percent) & (100 * same >= percent * (size[:, None] + size - same)))
+        found = []
+        while len(x):
+            found.append((rep[x[0]], rep[y[0]]))
+            comp[comp == comp[y[0]]] = comp[x[0]]
+            apart = comp[x] != comp[y]
+            x, y = x[apart], y[apart]
+        return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())})
+
+    return of
+
+
+def _spokes(classes: DataFrame) -> DataFrame:
+    """key, band, rep and centre of all members of buckets but the centres, of classes (rep, n, bands)."""
+    bands = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     # in a bucket, rep ^ hash(key) orders the members as a hash would, and gives the least one back
     veil = F.xxhash64("key")
     stars = bands.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(veil)).alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    spokes = bands.join(stars, "key").select("rep", F.col("least").bitwiseXOR(veil).alias("centre")).where("rep != centre")
+    return bands.join(stars, "key").select("key", "band", "rep", F.col("least").bitwiseXOR(veil).alias("centre")).where("rep != centre")
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """row and shingles of the documents that ``ids`` (row) names."""
+    ids = stash(ids.distinct(), "pair-ids")
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select("row", "text").join(F.broadcast(ids) if few else ids, "row")
+    return stash(texts.mapInArrow(_sets(words), "row long, shingles binary"), "sets")
+
+
+def _star_links(docs: DataFrame, classes: DataFrame, spokes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between the members of buckets and their centres."""
     ends = stash(spokes.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "candidates")
     size = lambda end: classes.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"))
     sizes_allow = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     pairs = stash(ends.join(size("a"), "a").join(size("b"), "b").where(sizes_allow).select("a", "b"), "pairs")
     # b meets a: salt what many b share
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    ids = stash(ids, "pair-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("row", "text").join(F.broadcast(ids) if few else ids, "row")
-    sets = stash(texts.mapInArrow(_sets(words), "row long, shingles binary"), "sets")
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("row")), words)
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("long").alias("salts"))
     salted = stash(pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")), "salted")
     # pairs are narrow: while they fit, they go to the sets; else both are shuffled
@@ -171,6 +247,48 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     return met.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
 
+CELL = "key long, cell string, part int, band int, rep long, comp long, n long, bands array<long>"
+
+
+def _open_links(docs: DataFrame, classes: DataFrame, spokes: DataFrame, joined: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that buckets still hold between the components ``joined`` (node, component).
+
+    In a bucket the members of its centre's component need only meet the others, the strays; so
+    a large component with a few strays is passed over once, not compared with itself.
+    """
+    comp = lambda of, name: joined.select(F.col("node").alias(of), F.col("component").alias(name))
+    named = spokes.join(comp("rep", "comp"), "rep", "left").join(comp("centre", "main"), "centre", "left")
+    named = stash(named.select("key", "band", "rep", F.coalesce("comp", "rep").alias("comp"), F.coalesce("main", "centre").alias("main")), "members")
+    counts = named.groupBy("key").agg(F.count_if(F.col("comp") != F.col("main")).alias("strays"), F.count_if(F.col("comp") == F.col("main")).alias("others"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    blocks_of = lambda c: F.ceil(F.col(c) / MEMBERS).cast("int")
+    counts = counts.where("least != most").select("key", blocks_of("strays").alias("strays"), blocks_of("others").alias("others"))
+    members = named.join(counts, "key").withColumn("stray", F.col("comp") != F.col("main"))
+    block = F.pmod(F.xxhash64("rep"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("others"))).cast("int")
+    members = members.withColumn("block", block)
+    # a cell is a block of strays and another block: of strays, not before it, or of the centre's component
+    cell = lambda i, kind, j, part: F.struct(F.concat_ws(" ", i, F.lit(kind), j).alias("cell"), F.lit(part).cast("int").alias("part"))
+    range_of = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.col("block")
+    with_later = F.transform(range_of(own, F.col("strays")), lambda j: cell(own, "s", j, 0))
+    with_earlier = F.transform(range_of(F.lit(0), own), lambda j: cell(j, "s", own, 1))
+    with_main = F.transform(range_of(F.lit(0), F.col("others")), lambda j: cell(own, "m", j, 0))
+    of_main = F.transform(range_of(F.lit(0), F.col("strays")), lambda j: cell(j, "m", own, 1))
+    cells = members.select("key", "band", "rep", "comp", F.explode(F.when(F.col("stray"), F.concat(with_later, with_earlier, with_main)).otherwise(of_main)).alias("at"))
+    cells = cells.join(classes.select("rep", "n", "bands"), "rep").select("key", "at.cell", "at.part", "band", "rep", "comp", "n", "bands")
+    needed = stash(cells.groupBy("key", "cell").applyInArrow(_needed(percent), CELL), "open")
+    sets = _sets_of(docs, needed.select(F.col("rep").alias("row")), words)
+    met = needed.join(sets.withColumnRenamed("row", "rep"), "rep")
+    return met.groupBy("key", "cell").applyInArrow(_meet(percent), "a long, b long")
+
+
+def _joined(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component) of the classes (rep, n, bands) that links join to a smaller one."""
+    spokes = stash(_spokes(classes), "spokes")
+    joined = stash(components(_star_links(docs, classes, spokes, words, percent)), "joined")
+    more = stash(_open_links(docs, classes, spokes, joined, words, percent), "more-links")
+    return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)) if more.limit(1).count() else joined
+
+
 def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """row, doc_id, n (shingles) and component (the first row of those that can be reached) of keyed documents."""
     schema = "row long, doc_id long, n long, one long, two long, bands array<long>"
@@ -178,7 +296,7 @@ def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     same = ["n", "one", "two"]
     classes = sketches.where("n > 0").groupBy(*same).agg(F.min("row").alias("rep"), F.min_by("bands", "row").alias("bands"))
     classes = stash(classes, "classes")
-    joined = components(links(docs, classes, words, percent))
+    joined = _joined(docs, classes, words, percent)
     named = classes.select(*same, "rep").join(joined, classes["rep"] == joined["node"], "left").select(*same, F.coalesce("component", "rep").alias("component"))
     return sketches.select("row", "doc_id", *same).join(named, same, "left").select("row", "doc_id", "n", F.coalesce("component", "row").alias("component"))
 

@@ -55,6 +55,37 @@ def test_salted_classes(docs, rows, monkeypatch):
     assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == before
 
 
+@pytest.mark.parametrize("members", [256, 40])
+def test_links_in_a_family_under_the_threshold(spark, monkeypatch, members):
+    """600 texts at similarity 0.75 to each other: a bucket's centre is a stranger to most of its members."""
+    monkeypatch.setattr(minhash, "MEMBERS", members)
+    template = [f"t{i}" for i in range(120)]
+    own = lambda d, n: [f"d{d}w{i}" for i in range(n)]
+    rows, links = [], []
+    for d in range(0, 600, 2):
+        shared = [f"p{d}w{i}" for i in range(6 + d % 6)]  # similarity 0.8 to 0.84 within a pair
+        rows += [(e, " ".join(template + shared + own(e, 20 - len(shared))), "en", "s", 0) for e in (d, d + 1)]
+    rows += [(10_000, rows[40][1] + " tail", "en", "s", 0)]  # a chain to a member
+    s = sets(rows, 1)
+    ids = sorted(s)
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    strangers = len(s[0] & s[2]) / len(s[0] | s[2])
+    assert len(links) > 250 and 0.74 < strangers < 0.76
+    label = reach(ids, links)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), words=1).collect()}
+    assert got == label
+
+
+def test_common_shingles_of_a_cell(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    r = np.random.default_rng(5)
+    held = [np.unique(r.integers(0, 60, r.integers(1, 30))).astype(np.uint64) for _ in range(9)]
+    got = minhash._shared(np.concatenate(held), np.cumsum([0, *map(len, held)]))
+    for i, a in enumerate(held):
+        for j, b in enumerate(held):
+            assert i == j or got[i, j] == len(np.intersect1d(a, b))
+
+
 def test_signature_agreement_follows_similarity():
     r = np.random.default_rng(2)
     pool = r.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)
