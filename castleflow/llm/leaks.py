@@ -8,8 +8,8 @@
 3. Each document is projected in steps of 8 words; sums of neighbouring steps are windows as
    long as an item plus one step, and their cosines with all items come from one matrix product.
 4. Candidates above a low cosine are confirmed: the longest common subsequence of words has to
-   reach a share of the item, and the words of its answer have to be there. So edited and
-   partly reworded copies count as well.
+   reach a share of the item; where the benchmark gives an answer, its words have to be there too.
+   So edited, partly reworded and cut off copies count as well.
 
 A benchmark is handled in groups of ``ITEMS`` items, which bounds all that is sent out.
 """
@@ -39,8 +39,6 @@ BUNCHES = 16
 COSINE, SHARE, ANSWER, SURE = 0.4, 0.6, 0.5, 0.9
 #: Items of fewer words would be met by chance and are left out.
 LEAST_WORDS = 5
-#: Closing words of an item that stand for its answer where the benchmark has none.
-KEYS = 5
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +208,8 @@ def _search_space(space: Latent, words, first, cuts, doc, number, step, head, no
             if item.may_share(text) < SHARE:
                 continue
             share = common_subsequence(item.words, text) / len(item.words)
-            answer = len(item.answer.intersection(text)) / max(1, len(item.answer))
+            # an item without an answer is judged by the subsequence alone
+            answer = len(item.answer.intersection(text)) / len(item.answer) if item.answer else 1.0
             key = (d, item.item_id)
             if share >= SHARE and (answer >= ANSWER or share >= SURE) and (share, answer) > best.get(key, (0, 0))[:2]:
                 best[key] = (share, answer, min(1.0, float(cosine[x, i])), int(cuts[at] - first[d]))
@@ -244,7 +243,7 @@ def _read_items(rows: list[dict]) -> list[Item]:
     items = []
     for r in rows:
         words = _hashes(r["text"])
-        answer = _hashes(r["answer"]).tolist() if r.get("answer") else words[-KEYS:].tolist()
+        answer = _hashes(r["answer"]).tolist() if r.get("answer") else []
         items.append(Item(r["item_id"], tuple(words.tolist()), frozenset(answer)))
     return items
 
@@ -275,7 +274,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, seed: int = 11) -> Data
     One row for each document and item, with the best window. Words are runs of letters and
     digits in lower case. lcs_share is the longest common subsequence over the item's
     length, answer_share the part of the item's answer words that the window holds (a column
-    ``answer``, else the item's five closing words). Null and empty texts hold nothing; items
+    ``answer``; 1 where there is none, and then the subsequence alone decides). Null and empty texts hold nothing; items
     of under ``LEAST_WORDS`` words are left out, as are those with a null item_id; equal items
     are each reported. Where doc_id repeats or is null, each row is judged for itself. Extra
     columns are ignored; an empty table gives an empty result.

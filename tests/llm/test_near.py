@@ -165,6 +165,19 @@ def test_leaks(spark):
     assert leaks.find_leaks(d.where("false"), b).count() == 0 and leaks.find_leaks(d, b.where("false")).count() == 0
 
 
+def test_leaks_that_are_cut_off_or_edited_at_an_end(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    items = [(i, [word() for _ in range(r.randint(20, 50))]) for i in range(12)]
+    cuts = [lambda w: w[: round(0.85 * len(w))], lambda w: w[: round(0.7 * len(w))], lambda w: w[round(0.3 * len(w)) :], lambda w: w[: round(0.7 * len(w))] + [word() for _ in w[round(0.7 * len(w)) :]]]
+    docs = [(i, " ".join([word() for _ in range(r.randint(0, 60))] + cuts[i % 4](w) + [word() for _ in range(r.randint(0, 60))])) for i, w in items]
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in leaks.find_leaks(d, b).collect()} == {(i, i) for i, _ in items}
+    # with an answer that the copies lack, only those that hold nearly all of the item stay
+    assert leaks.find_leaks(d, b.withColumn("answer", F.lit("zzz yyy"))).count() == 0
+
+
 def test_common_subsequence():
     r = random.Random(7)
     for _ in range(200):
