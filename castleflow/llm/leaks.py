@@ -1,21 +1,23 @@
-"""Benchmark decontamination by latent semantic retrieval.
-
-1. Passage frequencies of the benchmark's words over all documents give TF-IDF weights.
-2. A randomised SVD (Halko, Martinsson and Tropp, 2011) of the passages' TF-IDF matrix A: each
-   partition adds up its part of A'(A W) for a random W, Spark sums these, and the driver
-   factors the result, whose size is words of the benchmark times 40. The benchmark's own rows
-   are merged into the factors by a second, small SVD, so that every item lies in the latent space.
-3. Each document is projected in steps of 8 words; sums of neighbouring steps are windows as
-   long as an item plus one step, and their cosines with all items come from one matrix product.
-4. Candidates above a low cosine are confirmed: the longest common subsequence of words has to
-   reach a share of the item; where the benchmark gives an answer, its words have to be there too.
-   So edited, partly reworded and cut off copies count as well.
+"""Benchmark decontamination by windows that share enough words with an item.
+
+1. Passage frequencies of the benchmark's words over all documents give TF-IDF weights, for the
+   cosine that is reported.
+2. Documents are cut in steps of 8 words. For each step and item the shared words are counted;
+   sums of neighbouring steps, from one running sum, are windows as long as an item plus one step.
+3. Windows whose count reaches the share of an item's words are candidates. No window that holds
+   a long enough common subsequence has a smaller count, so the confirmation alone decides.
+4. Candidates are confirmed: the longest common subsequence of words has to reach a share of the
+   item; where the benchmark gives an answer, its words have to be there too. So edited, partly
+   reworded and cut off copies count as well.
+
+The latent space of a truncated SVD is not searched: README has the figures.
 
 A benchmark is handled in groups of ``ITEMS`` items, which bounds all that is sent out.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,13 +32,12 @@ from pyspark.sql import functions as F
 from castleflow.llm.common import ALNUM, BLOCK_BYTES, blocks, range_hash, stash, utf8, word_bounds
 
 ITEMS = 1024
-#: Items of one latent space; a group holds several.
+#: Items that are counted together; a group holds several such spaces.
 SPACE = 256
 STEP, PASSAGE = 8, 64
-SKETCH, RANK = 40, 32
-#: Bunches of items whose products are bounded together.
-BUNCHES = 16
-COSINE, SHARE, ANSWER, SURE = 0.4, 0.6, 0.5, 0.9
+#: Steps whose windows are counted at a time.
+CHUNK = 8192
+SHARE, ANSWER, SURE = 0.6, 0.5, 0.9
 #: Items of fewer words would be met by chance and are left out.
 LEAST_WORDS = 5
 
@@ -90,31 +91,6 @@ def _frequencies(vocabulary: Vocabulary):
     return of
 
 
-def _sketch(vocabulary: Vocabulary, idf: np.ndarray, other: float, seed: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = len(vocabulary.hashes)
-        test = np.random.default_rng(seed).standard_normal((v, SKETCH)).astype(np.float32) * idf[:, None].astype(np.float32)
-        total = np.zeros((v, SKETCH))
-        for _, _, words, first in _text_blocks(batches):
-            at, number = vocabulary.find(words)
-            if not len(at):
-                continue
-            cuts = _cut(first, PASSAGE)
-            passage = np.searchsorted(cuts, at, "right") - 1
-            head = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-            seen = passage[head]
-            norm = (cuts[seen + 1] - cuts[seen] - np.diff(np.r_[head, len(at)])) * other**2 + np.add.reduceat(idf[number] ** 2, head)
-            image = np.add.reduceat(test[number], head) / norm[:, None].astype(np.float32)
-            order = np.argsort(number, kind="stable")
-            own = number[order]
-            group = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            total[own[group]] += np.add.reduceat(np.repeat(image, np.diff(np.r_[head, len(at)]), 0)[order], group)
-        total *= idf[:, None]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(v)), *(pa.array(np.ascontiguousarray(total[:, i])) for i in range(SKETCH))], ["word", *(f"c{i}" for i in range(SKETCH))])
-
-    return of
-
-
 @dataclass(frozen=True)
 class Item:
     item_id: int
@@ -125,6 +101,11 @@ class Item:
     def steps(self) -> int:
         return -(-len(self.words) // STEP) + 1
 
+    @property
+    def least(self) -> int:
+        """Words of a common subsequence that reaches the share."""
+        return math.ceil(SHARE * len(self.words) - 1e-9)
+
     @cached_property
     def times(self) -> Counter[int]:
         return Counter(self.words)
@@ -135,14 +116,19 @@ class Item:
 
 
 @dataclass(frozen=True)
-class Latent:
-    """A latent space with the images of its items, unit length in the full space."""
+class Space:
+    """Items that are searched together.
+
+    A word that an item holds m times counts up to m times in a step: ``held`` has a line for a
+    word's first, second, ... occurrence, which says what items hold it so often, and ``lines``
+    has the lines of each word, or -1.
+    """
 
-    basis: np.ndarray
-    images: np.ndarray
     items: tuple[Item, ...]
-    #: Of each word, the most that one occurrence adds to the product with any item of each of BUNCHES bunches.
-    most: np.ndarray
+    lines: np.ndarray
+    held: np.ndarray
+    #: Of each item, idf times its unit TF-IDF weight, by word.
+    weights: tuple[dict[int, float], ...]
 
 
 def common_subsequence(a: tuple[int, ...], b: list[int]) -> int:
@@ -158,64 +144,54 @@ def common_subsequence(a: tuple[int, ...], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def _windows(values: np.ndarray, doc: np.ndarray, steps: int) -> np.ndarray:
-    """Sums over ``steps`` neighbours from each place on, none across documents."""
-    out, n = values.copy(), len(values)
-    for k in range(1, min(steps, n)):
-        inside = np.flatnonzero(doc[k:] == doc[: n - k])
-        out[inside] += values[inside + k]
-    return out
-
-
-def _search_space(space: Latent, words, first, cuts, doc, number, step, head, norm, best: dict[tuple[int, int], tuple]) -> None:
+def _search_space(space: Space, words, first, cuts, doc, step, number, rank, norm, best: dict[tuple[int, int], tuple]) -> None:
     """Confirmed items of one space, into ``best``.
 
-    No cosine of a window exceeds the sum of what its words can add at most. Windows that this
-    sum keeps below the threshold are not projected; that leaves out nothing.
+    A common subsequence takes each place of the item once, so it is no longer than the sum over
+    the window's steps of the words that a step shares with the item. Windows in which that sum
+    reaches the share are candidates; this leaves out nothing, however frequent the words are.
     """
     n = len(cuts) - 1
-    bound = np.zeros((n, BUNCHES), np.float32)
-    bound[step[head]] = np.add.reduceat(space.most[number], head)
-    chosen: dict[int, np.ndarray] = {}
-    needed = np.zeros(n + 1, np.int64)
+    line = np.where(rank < space.lines.shape[1], space.lines[number, np.minimum(rank, space.lines.shape[1] - 1)], -1)
+    step, line = step[line >= 0], line[line >= 0]
+    longest = max(i.steps for i in space.items)
+    # differences of sums that wrap are right as long as a window's count fits
+    kind = np.uint16 if longest * STEP < 1 << 16 else np.uint32
+    groups = []
     for steps in sorted({i.steps for i in space.items}):
-        chosen[steps] = w = np.flatnonzero(_windows(bound, doc, steps).max(1) >= 0.999 * COSINE * np.sqrt(_windows(norm, doc, steps)))
-        np.add.at(needed, w, 1)
-        np.add.at(needed, np.minimum(w + steps, n), -1)
-    place = np.cumsum(np.cumsum(needed[:n]) > 0) - 1
-    of_token = np.cumsum(needed[:n])[step] > 0
-    if not of_token.any():
-        return
-    step, number = step[of_token], number[of_token]
-    head = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
-    z = np.zeros((int(place[-1]) + 1, space.basis.shape[1]), np.float32)
-    z[place[step[head]]] = np.add.reduceat(space.basis[number], head)
-    for steps, w in chosen.items():
-        if not len(w):
-            continue
-        window, length = z[place[w]], norm[w].copy()
-        for k in range(1, steps):
-            inside = np.flatnonzero(doc[np.minimum(w + k, n - 1)] == doc[w]) if n else w
-            inside = inside[w[inside] + k < n]
-            window[inside] += z[place[w[inside] + k]]
-            length[inside] += norm[w[inside] + k]
         own = [i for i, item in enumerate(space.items) if item.steps == steps]
-        cosine = window @ space.images[own].T / np.sqrt(np.maximum(length, 1e-9))[:, None].astype(np.float32)
-        for x, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
-            item, at = space.items[own[i]], int(w[x])
-            d = int(doc[at])
-            text = words[cuts[at] : min(cuts[min(at + steps, n)], first[d + 1])].tolist()
-            if item.may_share(text) < SHARE:
-                continue
-            share = common_subsequence(item.words, text) / len(item.words)
-            # an item without an answer is judged by the subsequence alone
-            answer = len(item.answer.intersection(text)) / len(item.answer) if item.answer else 1.0
-            key = (d, item.item_id)
-            if share >= SHARE and (answer >= ANSWER or share >= SURE) and (share, answer) > best.get(key, (0, 0))[:2]:
-                best[key] = (share, answer, min(1.0, float(cosine[x, i])), int(cuts[at] - first[d]))
-
-
-def _search(vocabulary: Vocabulary, idf: np.ndarray, other: float, spaces: tuple[Latent, ...]):
+        groups.append((steps, own, np.array([space.items[i].least for i in own], kind)))
+    doc_end = np.searchsorted(doc, doc, "right")
+    for a in range(0, n, CHUNK):
+        b = min(n, a + CHUNK + longest)
+        lo, hi = np.searchsorted(step, (a, b))
+        if lo == hi:
+            continue
+        head = np.flatnonzero(np.r_[True, step[lo + 1 : hi] != step[lo : hi - 1]])
+        total = np.zeros((b - a + 1, len(space.items)), kind)
+        total[step[lo:hi][head] - a + 1] = np.add.reduceat(space.held[line[lo:hi]], head)
+        np.cumsum(total, axis=0, dtype=kind, out=total)
+        w = np.arange(a, min(n, a + CHUNK))
+        for steps, own, least in groups:
+            end = np.minimum(w + steps, doc_end[w])
+            part = total[:, own]
+            for x, i in zip(*np.nonzero(part[end - a] - part[w - a] >= least), strict=True):
+                item, at, to = space.items[own[i]], int(w[x]), int(end[x])
+                text = words[cuts[at] : cuts[to]].tolist()
+                if item.may_share(text) < SHARE:
+                    continue
+                share = common_subsequence(item.words, text) / len(item.words)
+                # an item without an answer is judged by the subsequence alone
+                answer = len(item.answer.intersection(text)) / len(item.answer) if item.answer else 1.0
+                d = int(doc[at])
+                key = (d, item.item_id)
+                if share >= SHARE and (answer >= ANSWER or share >= SURE) and (share, answer) > best.get(key, (0, 0))[:2]:
+                    weight = space.weights[own[i]]
+                    cosine = sum(weight.get(t, 0.0) for t in text) / max(float(norm[at:to].sum()), 1e-9) ** 0.5
+                    best[key] = (share, answer, min(1.0, cosine), int(cuts[at] - first[d]))
+
+
+def _search(vocabulary: Vocabulary, idf: np.ndarray, other: float, spaces: tuple[Space, ...]):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, words, first in _text_blocks(batches):
             best: dict[tuple[int, int], tuple] = {}
@@ -224,13 +200,17 @@ def _search(vocabulary: Vocabulary, idf: np.ndarray, other: float, spaces: tuple
             at, number = vocabulary.find(words)
             if len(at):
                 step = np.searchsorted(cuts, at, "right") - 1
+                order = np.lexsort((number, step))
+                step, number = step[order], number[order]
                 head = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
                 known = np.diff(np.r_[head, len(at)])
+                again = np.flatnonzero(np.r_[True, (step[1:] != step[:-1]) | (number[1:] != number[:-1])])
+                rank = np.arange(len(step)) - np.repeat(again, np.diff(np.r_[again, len(step)]))
                 norm = (np.diff(cuts) * other**2).astype(float)
                 norm[step[head]] += np.add.reduceat(idf[number] ** 2, head) - known * other**2
                 doc = np.searchsorted(first, cuts[:-1], "right") - 1
                 for space in spaces:
-                    _search_space(space, words, first, cuts, doc, number, step, head, norm, best)
+                    _search_space(space, words, first, cuts, doc, step, number, rank, norm, best)
             rows = sorted(best.items())
             ids = batch.column("row").take(pa.array([a + d for (d, _), _ in rows], pa.int64()))
             columns = [pa.array([x[1][k] for x in rows], t) for k, t in enumerate((pa.float64(), pa.float64(), pa.float64(), pa.int64()))]
@@ -252,19 +232,25 @@ def _hashes(text: str) -> np.ndarray:
     return words_of(*utf8(pc.utf8_lower(pa.array([text], pa.string()))))[0]
 
 
-def _spaces(items: list[Item], vocabulary: Vocabulary, idf: np.ndarray, corpus: np.ndarray) -> tuple[Latent, ...]:
+def _spaces(items: list[Item], vocabulary: Vocabulary, idf: np.ndarray) -> tuple[Space, ...]:
     out = []
     for a in range(0, len(items), SPACE):
         part = tuple(items[a : a + SPACE])
-        rows = np.zeros((len(part), len(idf)))
+        times = np.zeros((len(idf), len(part)), np.int64)
         for i, item in enumerate(part):
-            at, number = vocabulary.find(np.array(item.words, np.uint64))
-            np.add.at(rows[i], number, idf[number])
-        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-        _, s, vt = np.linalg.svd(np.vstack([corpus.T, rows]), full_matrices=False)
-        basis = vt[s > 1e-6 * s.max()].T
-        most = np.stack([idf * rows[i::BUNCHES].max(0, initial=0.0) for i in range(BUNCHES)], 1)
-        out.append(Latent((idf[:, None] * basis).astype(np.float32), (rows @ basis).astype(np.float32), part, most.astype(np.float32)))
+            times[:, i] = np.bincount(vocabulary.find(np.array(item.words, np.uint64))[1], minlength=len(idf))
+        # a step has STEP words
+        most = np.minimum(times.max(1), STEP)
+        word, rank = np.nonzero(np.arange(max(1, most.max())) < most[:, None])
+        lines = np.full((len(idf), max(1, most.max())), -1)
+        lines[word, rank] = np.arange(len(word))
+        weights = []
+        for i in range(len(part)):
+            own = np.flatnonzero(times[:, i])
+            weight = times[own, i] * idf[own]
+            weight = idf[own] * weight / max(np.linalg.norm(weight), 1e-12)
+            weights.append(dict(zip(vocabulary.hashes[own].tolist(), weight.tolist(), strict=True)))
+        out.append(Space(part, lines, (times[word] > rank[:, None]).astype(np.uint8), tuple(weights)))
     return tuple(out)
 
 
@@ -290,14 +276,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, seed: int = 11) -> Data
         rows = sorted((r.asDict() for r in part.collect()), key=lambda r: (r["item_id"], r["text"]))
         rows = [r for r in rows if len(_hashes(r["text"])) >= LEAST_WORDS]
         if rows:
-            found = found.unionByName(_leaks_of(text, rows, seed))
+            found = found.unionByName(_leaks_of(text, rows))
     return found.groupBy("row", "item_id").agg(F.max(F.struct("lcs_share", "answer_share", "cosine", "window_start")).alias("best")).select(F.col("row").alias("doc_id"), "item_id", "best.*")
 
 
 LEAKS = "row long, item_id long, lcs_share double, answer_share double, cosine double, window_start long"
 
 
-def _leaks_of(text: DataFrame, rows: list[dict], seed: int) -> DataFrame:
+def _leaks_of(text: DataFrame, rows: list[dict]) -> DataFrame:
     vocabulary = Vocabulary(np.unique(np.concatenate([_hashes(r["text"]) for r in rows])))
     counted = text.mapInArrow(_frequencies(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(len(vocabulary.hashes) + 1, np.int64)
@@ -305,11 +291,5 @@ def _leaks_of(text: DataFrame, rows: list[dict], seed: int) -> DataFrame:
         counts[r["word"] + 1] = r["n"]
     idf = np.log((counts[0] + 2) / (counts[1:] + 1))
     other = float(idf.mean())
-    sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(SKETCH)]
-    schema = ", ".join(["word long", *(f"c{i} double" for i in range(SKETCH))])
-    sketch = text.mapInArrow(_sketch(vocabulary, idf, other, seed), schema).groupBy("word").agg(*sums).toPandas().sort_values("word")
-    image = np.zeros((len(idf), SKETCH))
-    image[sketch["word"].to_numpy(int)] = sketch.drop(columns="word").to_numpy()
-    corpus = np.linalg.svd(image, full_matrices=False)[0][:, :RANK]
-    spaces = _spaces(_read_items(rows), vocabulary, idf, corpus)
+    spaces = _spaces(_read_items(rows), vocabulary, idf)
     return stash(text.mapInArrow(_search(vocabulary, idf, other, spaces), LEAKS), "leaks")

@@ -178,6 +178,19 @@ def test_leaks_that_are_cut_off_or_edited_at_an_end(spark):
     assert leaks.find_leaks(d, b.withColumn("answer", F.lit("zzz yyy"))).count() == 0
 
 
+def test_leaks_of_an_item_that_a_third_of_short_documents_hold(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "CHUNK", 50)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    items = [(i, [word() for _ in range(r.randint(15, 50))]) for i in range(20)]
+    items[7] = (7, items[7][1][:15])
+    text = lambda: [word() for _ in range(r.randint(0, 12))]
+    docs = [(i, " ".join(text() + (items[7][1] if i % 3 == 0 else []) + text())) for i in range(900)]
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(i, 7) for i in range(0, 900, 3)} and all(x["lcs_share"] == 1 for x in got)
+
+
 def test_common_subsequence():
     r = random.Random(7)
     for _ in range(200):
