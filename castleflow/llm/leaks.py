@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castleflow.llm.common import ALNUM, BLOCK_BYTES, blocks, range_hash, stash, utf8, word_bounds
+from castleflow.llm.repeats import keyed
 
 ITEMS = 1024
 #: Items that are counted together; a group holds several such spaces.
@@ -269,7 +270,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, seed: int = 11) -> Data
     columns = ["item_id", "text", *(["answer"] if "answer" in benchmark.columns else [])]
     benchmark = benchmark.where("item_id is not null and text is not null").select(*columns).distinct()
     groups = max(1, -(-benchmark.count() // ITEMS))
-    text = docs.selectExpr("cast(doc_id as long) row", "text")
+    docs = keyed(docs)
+    text = docs.select("row", "text")
     found = spark.createDataFrame([], LEAKS)
     for g in range(groups):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
@@ -277,7 +279,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, seed: int = 11) -> Data
         rows = [r for r in rows if len(_hashes(r["text"])) >= LEAST_WORDS]
         if rows:
             found = found.unionByName(_leaks_of(text, rows))
-    return found.groupBy("row", "item_id").agg(F.max(F.struct("lcs_share", "answer_share", "cosine", "window_start")).alias("best")).select(F.col("row").alias("doc_id"), "item_id", "best.*")
+    best = found.groupBy("row", "item_id").agg(F.max(F.struct("lcs_share", "answer_share", "cosine", "window_start")).alias("best"))
+    return best.join(docs.select("row", F.col("doc_id").cast("long").alias("doc_id")), "row").select("doc_id", "item_id", "best.*")
 
 
 LEAKS = "row long, item_id long, lcs_share double, answer_share double, cosine double, window_start long"

@@ -36,10 +36,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; where a doc_id repeats, all its rows go with one."""
-    leaked = stash(leaks.find_leaks(docs, documents(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaked")
+    """Documents that hold no benchmark item; where doc_id repeats or is null, each row is judged for itself."""
+    docs = keyed(docs, "lang", "source", "n_chars")
+    found = leaks.find_leaks(docs.select(F.col("row").alias("doc_id"), "text"), documents(spark, sf_dir, "benchmark"))
+    leaked = stash(found.select(F.col("doc_id").alias("row")).distinct(), "leaked")
     few = leaked.count() <= minhash.BROADCAST_IDS
-    return docs.select(*COLUMNS).join(F.broadcast(leaked) if few else leaked, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(F.broadcast(leaked) if few else leaked, "row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

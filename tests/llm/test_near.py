@@ -191,6 +191,19 @@ def test_leaks_of_an_item_that_a_third_of_short_documents_hold(spark, monkeypatc
     assert {(x["doc_id"], x["item_id"]) for x in got} == {(i, 7) for i in range(0, 900, 3)} and all(x["lcs_share"] == 1 for x in got)
 
 
+def test_leaks_of_rows_with_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    item, clean = " ".join(f"b{i}" for i in range(30)), " ".join(f"c{i}" for i in range(30))
+    rows = [(None, "x " + item), (None, "y " + item), (None, clean), (7, item + " z"), (7, clean + " z"), (8, clean + " y")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], DOCS)
+    benchmark = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in leaks.find_leaks(docs, benchmark).collect()) == ["7", "None", "None"]
+    benchmark.write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    left = p.drop_leaks(spark, docs, f"file://{tmp_path}").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left) == [("7", clean + " z"), ("8", clean + " y"), ("None", clean)]
+
+
 def test_common_subsequence():
     r = random.Random(7)
     for _ in range(200):
