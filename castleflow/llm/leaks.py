@@ -39,7 +39,7 @@ STEP, PASSAGE = 8, 64
 #: Steps whose windows are counted at a time.
 CHUNK = 8192
 SHARE, ANSWER, SURE = 0.6, 0.5, 0.9
-#: Items of fewer words would be met by chance and are left out.
+#: Items of fewer words would be met by chance in part; they are matched whole.
 LEAST_WORDS = 5
 
 
@@ -102,10 +102,18 @@ class Item:
     def steps(self) -> int:
         return -(-len(self.words) // STEP) + 1
 
+    @property
+    def short(self) -> bool:
+        return len(self.words) < LEAST_WORDS
+
+    def stands_in(self, text: list[int]) -> bool:
+        n = len(self.words)
+        return any(tuple(text[k : k + n]) == self.words for k in range(len(text) - n + 1))
+
     @property
     def least(self) -> int:
         """Words of a common subsequence that reaches the share."""
-        return math.ceil(SHARE * len(self.words) - 1e-9)
+        return len(self.words) if self.short else math.ceil(SHARE * len(self.words) - 1e-9)
 
     @cached_property
     def times(self) -> Counter[int]:
@@ -179,7 +187,7 @@ def _search_space(space: Space, words, first, cuts, doc, step, number, rank, nor
             for x, i in zip(*np.nonzero(part[end - a] - part[w - a] >= least), strict=True):
                 item, at, to = space.items[own[i]], int(w[x]), int(end[x])
                 text = words[cuts[at] : cuts[to]].tolist()
-                if item.may_share(text) < SHARE:
+                if not item.stands_in(text) if item.short else item.may_share(text) < SHARE:
                     continue
                 share = common_subsequence(item.words, text) / len(item.words)
                 # an item without an answer is judged by the subsequence alone
@@ -262,7 +270,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, seed: int = 11) -> Data
     digits in lower case. lcs_share is the longest common subsequence over the item's
     length, answer_share the part of the item's answer words that the window holds (a column
     ``answer``; 1 where there is none, and then the subsequence alone decides). Null and empty texts hold nothing; items
-    of under ``LEAST_WORDS`` words are left out, as are those with a null item_id; equal items
+    of under ``LEAST_WORDS`` words count only where all their words stand in a row; those without a
+    word or with a null item_id are left out; equal items
     are each reported. Where doc_id repeats or is null, each row is judged for itself. Extra
     columns are ignored; an empty table gives an empty result.
     """
@@ -276,7 +285,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, seed: int = 11) -> Data
     for g in range(groups):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
         rows = sorted((r.asDict() for r in part.collect()), key=lambda r: (r["item_id"], r["text"]))
-        rows = [r for r in rows if len(_hashes(r["text"])) >= LEAST_WORDS]
+        rows = [r for r in rows if len(_hashes(r["text"]))]
         if rows:
             found = found.unionByName(_leaks_of(text, rows))
     best = found.groupBy("row", "item_id").agg(F.max(F.struct("lcs_share", "answer_share", "cosine", "window_start")).alias("best"))

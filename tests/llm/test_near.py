@@ -204,6 +204,14 @@ def test_leaks_of_rows_with_repeated_and_null_ids(spark, tmp_path):
     assert sorted((str(r["doc_id"]), r["text"]) for r in left) == [("7", clean + " z"), ("8", clean + " y"), ("None", clean)]
 
 
+def test_leaks_of_short_items(spark):
+    b = spark.createDataFrame([(0, "Red blue, green."), (1, "solo"), (2, "..."), (3, "one two three four")], "item_id long, text string")
+    fill = " ".join(f"w{i}" for i in range(30))
+    docs = [(0, f"{fill} red BLUE green {fill}"), (1, f"{fill} red blue x green"), (2, "green blue red"), (3, f"w solo {fill}"), (4, "one two three"), (5, f"{fill} a b c d one two three four"), (6, "... !")]
+    got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["lcs_share"]) for r in got) == [(0, 0, 1.0), (3, 1, 1.0), (5, 3, 1.0)]
+
+
 def test_common_subsequence():
     r = random.Random(7)
     for _ in range(200):
