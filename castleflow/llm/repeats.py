@@ -9,7 +9,7 @@ Winnowing routes the work. Each window picks the k-gram with the smallest hash i
 anchor; equal windows pick the same anchor at the same offset. Consecutive windows with one
 anchor form a *run*, about two for each ``window - gram`` symbols.
 
-1. ``_runs`` finds all runs and sends 29 bytes for each to a bucket by the anchor's hash, as
+1. ``_runs`` finds all runs and sends 30 bytes for each to a bucket by the anchor's hash, as
    packed arrays. Equal runs of one batch are settled there, so that a text that a third of
    all documents share reaches its bucket once a batch.
 2. ``_meet`` joins the runs of a bucket on their anchors. A run whose anchor occurs once holds
@@ -54,6 +54,11 @@ class Plan:
     window: int
     gram: int
 
+    def __post_init__(self) -> None:
+        # a run's number of windows is packed in two bytes
+        if self.window - self.gram + 1 >= 1 << 16:
+            raise ValueError(f"a window of {self.window} symbols is too long for grams of {self.gram}")
+
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """``docs`` with a unique, ordered long ``row``: doc_id itself wherever that is one.
@@ -112,7 +117,7 @@ def _long_runs(sym: np.ndarray, first: np.ndarray, plan: Plan) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-PACKED = (np.uint64, np.uint64, np.int64, np.uint32, np.uint8)
+PACKED = (np.uint64, np.uint64, np.int64, np.uint32, np.uint16)
 
 
 def pack(columns: tuple[np.ndarray, ...], kinds: tuple = PACKED) -> bytes:
@@ -153,7 +158,7 @@ def _runs(plan: Plan, buckets: int) -> Callable:
             numbers, payloads = [], []
             if len(late):  # settled here: bucket -1 passes them on
                 numbers.append(-1 - int(rows[0]) % buckets)
-                payloads.append(pack((row[late], start[late], count[late]), (np.int64, np.uint32, np.uint8)))
+                payloads.append(pack((row[late], start[late], count[late]), (np.int64, np.uint32, np.uint16)))
             kept = np.flatnonzero(~again)
             cols = (ha[kept], hc[kept], row[kept], start[kept], count[kept])
             if len(kept):
@@ -170,7 +175,7 @@ def _runs(plan: Plan, buckets: int) -> Callable:
 def _meet(table: pa.Table) -> pa.Table:
     payloads = [p.as_py() for p in table.column("payload")]
     if payloads and table.column("bucket")[0].as_py() < 0:
-        row, start, count = unpack(payloads, (np.int64, np.uint32, np.uint8))
+        row, start, count = unpack(payloads, (np.int64, np.uint32, np.uint16))
         return _marks(row, start, count, None)
     ha, hc, row, start, count = unpack(payloads)
     order = np.lexsort((start, row, hc, ha))
@@ -235,7 +240,7 @@ def _contexts(plan: Plan, buckets: int) -> Callable:
     return of
 
 
-HEAD = (np.uint64, np.int64, np.uint32, np.uint8)
+HEAD = (np.uint64, np.int64, np.uint32, np.uint16)
 
 
 @dataclass

@@ -48,6 +48,19 @@ def test_bytes(docs, rows, n):
     assert any(any(g) for g in gone.values())
 
 
+def test_long_windows(spark):
+    r = random.Random(13)
+    shared = [[f"s{r.random()}" for _ in range(900)] for _ in range(8)]
+    # every other copy is in other surroundings
+    texts = {i: ([f"a{i}"] * (i % 5) + shared[i % 8] + [f"z{i}"] * (i % 3)) for i in range(24)}
+    gone = late(texts, 400)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {x["doc_id"]: x["n_removed"] for x in substrings.dedup_substrings(docs, words=400).collect()}
+    assert got == {i: sum(gone[i]) for i in texts} and sum(got.values()) > 10_000
+    with pytest.raises(ValueError, match="too long"):
+        substrings.dedup_substrings(docs, words=70_000)
+
+
 @pytest.mark.parametrize("n", [20, 7])
 def test_words(docs, rows, n):
     texts = {d: WORD.findall((t or "").encode()) for d, t, *_ in rows}
