@@ -5,7 +5,7 @@ lines that aren't blank; a fingerprint is the smallest hash of each window of ``
 lines, joined fingerprints are extended both ways, and a run of at least ``run_lines`` equal
 lines that also starts earlier goes. In the second the symbols are the lines of at least
 ``long_words`` words alone; of these a single repeated line goes. A later run is deleted, the
-first one stays.
+first one stays. Passages that begin or end inside a line, and shorter single lines, are left.
 """
 
 from __future__ import annotations
