@@ -69,7 +69,7 @@ class App:
         if make:
             held.init(providers.providers_frame(held.spark), int(time.time()))
         elif not held.exists():
-            raise FileNotFoundError(f"Archive not found: {args.archive}\nRun `castleflow init --archive PATH` first.")
+            raise FileNotFoundError(f"{args.archive} holds no archive; `init` makes one")
         return held
 
     def service(self, args: argparse.Namespace) -> Service:
@@ -155,7 +155,7 @@ def crawl_opponents(app: App, args: argparse.Namespace) -> int:
     service = app.service(args)
     held = service.load()
     try:
-        run, _ = control.create_crawl(held, args.provider, args.username, since, until, depth=args.depth, max_users=args.max_users, max_games=args.max_games, max_jobs=args.max_jobs)
+        run, _ = control.create_crawl(held, args.provider, args.username, control.Limits(since, until, args.depth, args.max_users, args.max_games, args.max_jobs))
     except ValueError as e:
         raise Usage(str(e)) from e
     tally = Runner(service).run(run=run)
@@ -174,8 +174,7 @@ def jobs_status(app: App, args: argparse.Namespace) -> int:
 
 
 def jobs_list(app: App, args: argparse.Namespace) -> int:
-    columns = ["id", "crawl_run_id", "parent_job_id", "provider", "kind", "target", "state", "priority", "depth", "attempts", "enqueued_at", "started_at", "done_at", "reason"]
-    _show(app.archive(args).table("discovery_jobs").select(*columns).orderBy("id").limit(positive(args.limit, "--limit")))
+    _show(control.list_jobs(app.archive(args).table("discovery_jobs"), positive(args.limit, "--limit")))
     return 0
 
 

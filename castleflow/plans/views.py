@@ -27,6 +27,13 @@ def ratings_at_game(games: DataFrame) -> DataFrame:
     return seats(games).select(F.col("id").alias("game_id"), "color", "me.rating", "me.rating_diff", "me.rd")
 
 
+def with_states(payloads: DataFrame, states: DataFrame) -> DataFrame:
+    """Payloads with the latest of their states; a payload without one keeps what it was landed with."""
+    last = states.groupBy(F.col("payload").alias("id")).agg(F.max_by(F.struct("parser_version", "normalization_status", "normalized_at"), "normalized_at").alias("_state"))
+    held = payloads.join(last, "id", "left")
+    return held.select(*[F.coalesce(f"_state.{c}", c).alias(c) if c in ("parser_version", "normalization_status", "normalized_at") else c for c in payloads.columns])
+
+
 def count_if(condition: Column, name: str) -> Column:
     return F.count_if(condition).alias(name)
 

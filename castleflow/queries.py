@@ -409,11 +409,11 @@ def repeated_keys(m: Model) -> DataFrame:
 
 
 @query(
-    "SELECT event_id, CASE WHEN s IN (200, 304) THEN 'done' WHEN s IN (404, 410) THEN 'skipped' WHEN s = 429 THEN 'blocked' ELSE 'error' END AS state, CASE WHEN s = 304 THEN 'not modified; no new raw payload stored' WHEN s IN (404, 410) THEN 'provider returned HTTP ' || s || '; no raw payload stored' WHEN s = 429 THEN 'rate limited after retry policy; no raw payload stored' ELSE 'HTTP ' || s || '; no raw payload stored' END AS message FROM (SELECT event_id, [200, 304, 404, 410, 429, 500, 0][event_id % 7 + 1] AS s FROM events)"
+    "SELECT event_id, CASE WHEN s IN (200, 304) THEN 'done' WHEN s IN (404, 410) THEN 'skipped' WHEN s = 429 THEN 'blocked' ELSE 'error' END AS state, CASE s WHEN 304 THEN 'unchanged since it was last stored' WHEN 404 THEN 'the provider has nothing here (404)' WHEN 410 THEN 'the provider has removed this (410)' WHEN 429 THEN 'the provider asks to wait (429)' ELSE 'unexpected answer ' || s END AS message FROM (SELECT event_id, [200, 304, 404, 410, 429, 500, 0][event_id % 7 + 1] AS s FROM events)"
 )
 def status_to_state(m: Model) -> DataFrame:
     status = F.get(F.array(*map(F.lit, [200, 304, 404, 410, 429, 500, 0])), (F.col("event_id") % 7).cast("int"))
-    return m.table("events").select("event_id", codes.job_state(status).alias("state"), codes.status_message(status).alias("message"))
+    return m.table("events").select("event_id", codes.job_state(status).alias("state"), codes.status_note(status).alias("message"))
 
 
 @query("SELECT doc_id, (SELECT min(d.doc_id) FROM documents d WHERE d.text = x.text) AS entity FROM documents x")

@@ -69,10 +69,9 @@ def test_control_table():
     for kind, provider in (("fetch_user_stats", "lichess"), ("fetch_game_by_id", "chess.com"), ("other", "lichess")):
         with pytest.raises(ValueError):
             c.enqueue(provider, kind, "x")
-    for bad in ({"depth": -1}, {"max_users": 0}, {"since": 9}):
-        given = {"since": 1, "until": 2, "depth": 1, "max_users": 1, "max_games": 1, "max_jobs": 1} | bad
+    for bad in ({"depth": -1}, {"users": 0}, {"games": 0}, {"jobs": 0}, {"since": 9}):
         with pytest.raises(ValueError):
-            jobs.create_crawl(c, "lichess", "me", given.pop("since"), given.pop("until"), **given)
+            jobs.Limits(**({"since": 1, "until": 2, "depth": 1, "users": 1, "games": 1, "jobs": 1} | bad))
 
 
 def test_months():
@@ -93,14 +92,14 @@ def service(spark, tmp_path):
     for me, found in LINKED.items():
         for other in found:
             seat = lambda n: (NAMES.index(n) + 1, n, None, None, False, None, None, None)
-            games.append((len(games) + 1, "lichess", f"g{len(games)}", None, f"h{len(games)}", 1, 1, True, "white_win", False, "mate", 1, 1704067200, None, None, None, None, None, 1, seat(me), seat(other)))
+            games.append((len(games) + 1, "lichess", f"g{len(games)}", None, f"h{len(games)}", 1, 1, True, "white_win", False, "mate", 1, 1683676800, None, None, None, None, None, 1, seat(me), seat(other)))
     a.commit({"variants": spec, "time_controls": control, "provider_users": users, "games": spark.createDataFrame(games, TABLES["games"].schema)})
     return Service(a, client=None, clock=lambda: 1000)
 
 
 def start(service, **caps):
     held = service.load()
-    run, _ = jobs.create_crawl(held, "lichess", "A", 1704067200 - 86400, 1704067200 + 86400, **({"depth": 2, "max_users": 9, "max_games": 99, "max_jobs": 99} | caps))
+    run, _ = jobs.create_crawl(held, "lichess", "A", jobs.Limits(1683676800 - 86400, 1683676800 + 86400, **({"depth": 2, "users": 9, "games": 99, "jobs": 99} | caps)))
     return run
 
 
@@ -127,7 +126,7 @@ def test_runner_walks_breadth_first(service):
 
 def test_caps_and_failures(service):
     order = []
-    run = start(service, max_games=1, depth=1)
+    run = start(service, games=1, depth=1)
     Runner(service, fetched(order)).run(run=run)
     # two games of the root are stored already, so that the cap holds from the start
     assert order == [] and [j.state for j in service.load().jobs.values()] == ["skipped"]
@@ -135,7 +134,7 @@ def test_caps_and_failures(service):
     def broken(job, params, left):
         raise RuntimeError("boom")
 
-    run = start(service, max_users=2)
+    run = start(service, users=2)
     tally = Runner(service, broken).run(run=run)
     assert tally.error == 1 and service.load().runs[run].status == "failed"
     assert service.archive.table("errors").where(F.col("message") == "boom").count() == 1

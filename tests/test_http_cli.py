@@ -41,7 +41,7 @@ PROFILE, GAMES = providers.user_profile("chess.com", " Some/One "), providers.us
 
 def test_addresses_and_keys():
     assert PROFILE.url == "https://api.chess.com/pub/player/some%2Fone" and PROFILE.source_key == "chess.com/player/some/one/profile"
-    assert MONTH.url.endswith("/samename/games/2024/01") and GAMES.source_key == "lichess/games/user/me/1970-01-01..1970-01-02-limit-5"
+    assert MONTH.url.endswith("/marigold/games/2023/05") and GAMES.source_key == "lichess/games/user/me/1970-01-01..1970-01-02-limit-5"
     assert dict(GAMES.params)["until"] == "86400000" and GAMES.accept == "application/x-ndjson"
     with pytest.raises(ValueError):
         providers.monthly_archive("x", 2024, 13)
@@ -84,46 +84,44 @@ class Stub:
 @pytest.fixture
 def app(spark, tmp_path, monkeypatch):
     bodies = {
-        "chess.com/player/samename/games/2024/01": {"games": [cc_game("u1"), cc_game("u2", results=("", ""))]},
-        "lichess/user/samename/profile": {"id": "samename", "username": "SameName"},
-        "lichess/games/user/samename/2024-01-01..2024-02-01-limit-9": json.dumps(li_game("l1")).encode(),
-        "lichess/games/user/opponenttwo/2024-01-01..2024-02-01-limit-8": json.dumps(li_game("l1")).encode(),
+        "chess.com/player/marigold/games/2023/05": {"games": [cc_game("u1"), cc_game("u2", results=("", ""))]},
+        "lichess/user/marigold/profile": {"id": "marigold", "username": "Marigold"},
+        "lichess/games/user/marigold/2023-05-01..2023-06-01-limit-9": json.dumps(li_game("l1")).encode(),
+        "lichess/games/user/quillwort/2023-05-01..2023-06-01-limit-8": json.dumps(li_game("l1")).encode(),
     }
     monkeypatch.chdir(tmp_path)
-    made = cli.App(lambda: spark, lambda archive: Service(archive, client=Stub(bodies), clock=lambda: 1_704_100_000))
+    made = cli.App(lambda: spark, lambda archive: Service(archive, client=Stub(bodies), clock=lambda: 1_683_700_000))
     return lambda *argv: cli.run([*argv, *([] if argv[0] == "provider" else ["--archive", f"file://{tmp_path}/archive"])], made)
 
 
-@pytest.mark.slow
 def test_workflow(app, capsys, tmp_path):
-    assert app("query", "user", "lichess", "samename") == 1  # nothing is made by reading
+    assert app("query", "user", "lichess", "marigold") == 1  # nothing is made by reading
     assert app("init") == 0 and "Applied migrations: 0001_init" in capsys.readouterr().out
     assert app("provider", "list") == 0 and "lichess" in capsys.readouterr().out
-    assert app("fetch", "games", "chess.com", "SameName", "--month", "2024-01") == 0
-    assert app("fetch", "user", "lichess", "SameName") == 0 and app("fetch", "user", "lichess", "nobody") == 1
-    assert app("fetch", "games", "lichess", "SameName") == 2 and app("query", "raw", "--provider", "lichess", "--limit", "0") == 2
+    assert app("fetch", "games", "chess.com", "Marigold", "--month", "2023-05") == 0
+    assert app("fetch", "user", "lichess", "Marigold") == 0 and app("fetch", "user", "lichess", "nobody") == 1
+    assert app("fetch", "games", "lichess", "Marigold") == 2 and app("query", "raw", "--provider", "lichess", "--limit", "0") == 2
     capsys.readouterr()
     assert app("query", "game", "chess.com", "u1") == 0 and "outcome: white_win" in capsys.readouterr().out
     assert app("query", "game", "chess.com", "zz") == 1
-    assert app("report", "opponents", "chess.com", "samename") == 0 and "opponentone" in capsys.readouterr().out
+    assert app("report", "opponents", "chess.com", "marigold") == 0 and "tamarind" in capsys.readouterr().out
     assert app("report", "opponents", "chess.com", "nobody") == 1
-    assert app("report", "games-by-month", "--provider", "chess.com") == 0 and "2024-01" in capsys.readouterr().out
-    crawl = ["crawl", "opponents", "lichess", "SameName", "--depth", "1", "--max-users", "5", "--max-games", "9", "--max-jobs", "5", "--since", "2024-01", "--until", "2024-01"]
+    assert app("report", "games-by-month", "--provider", "chess.com") == 0 and "2023-05" in capsys.readouterr().out
+    crawl = ["crawl", "opponents", "lichess", "Marigold", "--depth", "1", "--max-users", "5", "--max-games", "9", "--max-jobs", "5", "--since", "2023-05", "--until", "2023-05"]
     assert app(*crawl) == 0 and "done 2" in capsys.readouterr().out
     assert app("jobs", "status") == 0 and app("jobs", "list") == 0 and app("jobs", "show", "1") == 0 and app("jobs", "show", "99") == 1 and app("jobs", "resume") == 0
     capsys.readouterr()
-    assert app("report", "summary") == 0 and "raw payloads: 3" in capsys.readouterr().out
+    assert app("report", "summary") == 0 and "raw payloads: 4" in capsys.readouterr().out
     games, graph = tmp_path / "out" / "games.jsonl", tmp_path / "graph.csv"
     assert app("export", "games", "--format", "jsonl", "--output", str(games)) == 0
     found = [json.loads(x) for x in games.read_text().splitlines()]
     assert len(found) == 3 and list(found[0]) == sorted(found[0]) and found[0]["rated"] == 1 and {g["outcome"] for g in found} == {"white_win", None, "black_win"}
     assert app("export", "graph", "--format", "csv", "--output", str(graph)) == 0
     head, line = graph.read_text().splitlines()
-    assert head.startswith("provider,crawl_run_id,from_username") and line.startswith("lichess,1,samename,opponenttwo")
-    assert app("export", "users", "--format", "jsonl", "--provider", "lichess") == 0 and '"username_normalized":"samename"' in capsys.readouterr().out
+    assert head.startswith("provider,crawl_run_id,from_username") and line.startswith("lichess,1,marigold,quillwort")
+    assert app("export", "users", "--format", "jsonl", "--provider", "lichess") == 0 and '"username_normalized":"marigold"' in capsys.readouterr().out
 
 
-@pytest.mark.slow
 def test_stream_takes_each_file_once(spark, tmp_path):
     from pyspark.sql import functions as F
 

@@ -11,7 +11,7 @@ from castleflow.plans import reports
 from castleflow.sources import providers
 from castleflow.sources.http import Answer, Attempt
 
-NOW = 1_704_100_000
+NOW = 1_683_700_000
 
 
 def answer(request, body, status=200, headers=None, at=NOW):
@@ -20,21 +20,21 @@ def answer(request, body, status=200, headers=None, at=NOW):
     return Answer(request, status, at, headers or {}, raw, (attempt,))
 
 
-def cc_game(uuid, white="SameName", black="OpponentOne", results=("win", "checkmated"), **more):
+def cc_game(uuid, white="Marigold", black="Tamarind", results=("win", "checkmated"), **more):
     game = {
-        "uuid": uuid, "url": f"https://www.chess.com/game/live/{uuid}", "pgn": "1. e4", "time_control": "300+2", "end_time": 1704067500, "rated": True, "time_class": "blitz", "rules": "chess",
+        "uuid": uuid, "url": f"https://www.chess.com/game/live/{uuid}", "pgn": "1. e4", "time_control": "300+2", "end_time": 1683677100, "rated": True, "time_class": "blitz", "rules": "chess",
         "white": {"rating": 1510, "result": results[0], "username": white}, "black": {"rating": 1490, "result": results[1], "username": black},
     }
     return game | more
 
 
-def li_game(gid, white="samename", black="opponenttwo", **more):
+def li_game(gid, white="marigold", black="quillwort", **more):
     seat = lambda n: {"user": {"id": n.lower(), "name": n}, "rating": 1700, "ratingDiff": -6}
-    return {"id": gid, "rated": True, "variant": "standard", "speed": "blitz", "createdAt": 1704067200000, "lastMoveAt": 1704067500000, "status": "mate", "winner": "black", "players": {"white": seat(white), "black": seat(black)}, "clock": {"initial": 300, "increment": 0}, "opening": {"eco": "C20", "name": "King's Pawn Game", "ply": 2}, "pgn": "1. e4"} | more
+    return {"id": gid, "rated": True, "variant": "standard", "speed": "blitz", "createdAt": 1683676800000, "lastMoveAt": 1683677100000, "status": "mate", "winner": "black", "players": {"white": seat(white), "black": seat(black)}, "clock": {"initial": 300, "increment": 0}, "opening": {"eco": "C20", "name": "King's Pawn Game", "ply": 2}, "pgn": "1. e4"} | more
 
 
-MONTH = providers.monthly_archive("SameName", 2024, 1)
-STREAM = providers.user_games("SameName", None, None, 10)
+MONTH = providers.monthly_archive("Marigold", 2023, 5)
+STREAM = providers.user_games("Marigold", None, None, 10)
 
 
 def take(archive, *answers):
@@ -54,76 +54,71 @@ def rows(df, *order):
     return [r.asDict(recursive=True) for r in df.orderBy(*order).collect()]
 
 
-@pytest.mark.slow
 def test_month_and_stream(archive):
-    lines = "\n".join(["", json.dumps(li_game("lichgame1")), "   ", json.dumps(li_game("live1", status="started", winner=None, lastMoveAt=None)), ""]).encode()
-    month = {"games": [cc_game("u1"), cc_game("u2", rules="bughouse"), cc_game("u3", black="SameName", results=("agreed", "agreed"))]}
+    lines = "\n".join(["", json.dumps(li_game("sumac7")), "   ", json.dumps(li_game("live1", status="started", winner=None, lastMoveAt=None)), ""]).encode()
+    month = {"games": [cc_game("u1"), cc_game("u2", rules="bughouse"), cc_game("u3", black="Marigold", results=("agreed", "agreed"))]}
     assert take(archive, answer(MONTH, month), answer(STREAM, lines)) == (2, 4)
     games = rows(archive.table("games"), "id")
-    assert [(g["provider"], g["provider_game_id"], g["outcome"], g["is_live"], g["ended_at"]) for g in games] == [("chess.com", "u1", "white_win", False, 1704067500), ("chess.com", "u3", "draw", False, 1704067500), ("lichess", "lichgame1", "black_win", False, 1704067500), ("lichess", "live1", None, True, None)]
+    assert [(g["provider"], g["provider_game_id"], g["outcome"], g["is_live"], g["ended_at"]) for g in games] == [("chess.com", "u1", "white_win", False, 1683677100), ("chess.com", "u3", "draw", False, 1683677100), ("lichess", "sumac7", "black_win", False, 1683677100), ("lichess", "live1", None, True, None)]
     assert games[0]["white"]["rating"] == 1510 and games[0]["white"]["is_winner"] is True and games[1]["white"]["is_winner"] is None
     pointers = rows(archive.table("source_records").where("entity_type = 'game'"), "id")
     assert [p["json_pointer"] for p in pointers] == ["/games/0", "/games/2", "/0", "/1"]  # the one left out keeps its place
     assert archive.table("game_participants").count() == 8
     # the same name with two providers is two users
-    assert archive.table("provider_users").where("username_normalized = 'samename'").count() == 2
+    assert archive.table("provider_users").where("username_normalized = 'marigold'").count() == 2
     assert {r["normalization_status"] for r in rows(archive.table("raw_payloads"), "id")} == {"parsed"}
 
-    summary = reports.user_game_summary(archive.table("provider_users"), archive.table("games"), "lichess", " SAMENAME ").first()
+    summary = reports.user_game_summary(archive.table("provider_users"), archive.table("games"), "lichess", " MARIGOLD ").first()
     assert (summary["games"], summary["wins"], summary["losses"], summary["draws"], summary["unfinished"]) == (2, 0, 1, 0, 1)
-    against = reports.opponent_report(archive.table("provider_users"), archive.table("games"), "chess.com", "samename").collect()
-    assert [(r["opponent_username"], r["games"]) for r in against] == [("samename", 2), ("opponentone", 1)]  # a game against oneself shows from both seats
+    against = reports.opponent_report(archive.table("provider_users"), archive.table("games"), "chess.com", "marigold").collect()
+    assert [(r["opponent_username"], r["games"]) for r in against] == [("marigold", 2), ("tamarind", 1)]  # a game against oneself shows from both seats
 
     before = {t: rows(archive.table(t), "id") for t in ("games", "provider_users", "source_records", "variants", "time_controls")}
     assert take(archive, answer(MONTH, month), answer(STREAM, lines)) == (0, 0)
     assert before == {t: rows(archive.table(t), "id") for t in before}
 
 
-@pytest.mark.slow
 def test_late_observation_updates_the_game(archive):
     take(archive, answer(STREAM, json.dumps(li_game("g1", status="started", winner=None, lastMoveAt=None)).encode()))
     later = providers.game("g1")
     take(archive, answer(later, li_game("g1", opening=None), at=NOW + 5))
     (game,) = rows(archive.table("games"), "id")
-    assert (game["id"], game["outcome"], game["is_live"], game["ended_at"], game["eco"], game["first_seen_at"]) == (1, "black_win", False, 1704067500, "C20", NOW)
+    assert (game["id"], game["outcome"], game["is_live"], game["ended_at"], game["eco"], game["first_seen_at"]) == (1, "black_win", False, 1683677100, "C20", NOW)
     assert archive.table("source_records").where("entity_type = 'game'").count() == 2
 
 
-@pytest.mark.slow
 def test_profiles_stats_and_renames(archive):
-    profile = {"username": "SameName", "player_id": 12345, "title": "NM", "followers": 42, "country": "US", "joined": 1, "status": "premium"}
+    profile = {"username": "Marigold", "player_id": 70707, "title": "NM", "followers": 42, "country": "US", "joined": 1, "status": "premium"}
     stats = {"chess_blitz": {"record": {"win": 10, "loss": 5, "draw": 2}}, "chess_rapid": {"record": {"win": 3, "loss": 1, "draw": 1}}, "fide": 0}
-    user, stat = providers.user_profile("chess.com", "SameName"), providers.user_stats("SameName")
+    user, stat = providers.user_profile("chess.com", "Marigold"), providers.user_stats("Marigold")
     assert take(archive, answer(user, profile), answer(stat, stats)) == (2, 0)
     (u,) = rows(archive.table("provider_users"), "id")
-    assert (u["provider_user_id"], u["username_normalized"], u["account_status"], u["title"]) == ("12345", "samename", "premium", "NM")
+    assert (u["provider_user_id"], u["username_normalized"], u["account_status"], u["title"]) == ("70707", "marigold", "premium", "NM")
     counts = [(s["followers"], s["count_all"], s["count_win"], s["count_loss"], s["count_draw"]) for s in rows(archive.table("user_snapshots"), "id")]
     assert counts == [(42, None, None, None, None), (None, 22, 13, 6, 3)]
     # same id, new name, no title: the row follows the name and keeps the title
-    take(archive, answer(providers.user_profile("chess.com", "NewName"), profile | {"username": "NewName", "title": None}, at=NOW + 9))
+    take(archive, answer(providers.user_profile("chess.com", "Saffron"), profile | {"username": "Saffron", "title": None}, at=NOW + 9))
     (u,) = rows(archive.table("provider_users"), "id")
-    assert (u["id"], u["username_normalized"], u["title"], u["first_seen_at"], u["updated_at"]) == (1, "newname", "NM", NOW, NOW + 9)
+    assert (u["id"], u["username_normalized"], u["title"], u["first_seen_at"], u["updated_at"]) == (1, "saffron", "NM", NOW, NOW + 9)
     # the same content again only refreshes the time
-    li = {"id": "samename", "username": "SameName", "patron": True, "count": {"all": 100, "win": 40}, "perfs": {"blitz": {"games": 20}}}
-    take(archive, answer(providers.user_profile("lichess", "samename"), li))
-    take(archive, answer(providers.user_profile("lichess", "samename"), li | {"seenAt": 5}, at=NOW + 7))
+    li = {"id": "marigold", "username": "Marigold", "patron": True, "count": {"all": 100, "win": 40}, "perfs": {"blitz": {"games": 20}}}
+    take(archive, answer(providers.user_profile("lichess", "marigold"), li))
+    take(archive, answer(providers.user_profile("lichess", "marigold"), li | {"seenAt": 5}, at=NOW + 7))
     own = [s for s in rows(archive.table("user_snapshots"), "id") if s["patron"]]
     assert [(s["captured_at"], s["count_all"], s["count_win"], s["patron"]) for s in own] == [(NOW + 7, 100, 40, True)]
 
 
-@pytest.mark.slow
 def test_unreadable_payloads_stay_pending_and_others_go_through(archive):
     odd = answer(MONTH, {"games": [cc_game("ok"), cc_game("odd", time_class="custom")]})
-    broken = answer(providers.monthly_archive("SameName", 2024, 2), b"{not json")
-    empty = answer(providers.monthly_archive("SameName", 2024, 3), {"games": []})
+    broken = answer(providers.monthly_archive("Marigold", 2023, 6), b"{not json")
+    empty = answer(providers.monthly_archive("Marigold", 2023, 7), {"games": []})
     good = answer(STREAM, json.dumps(li_game("fine")).encode())
     assert take(archive, odd, broken, empty, good) == (4, 1)
     status = {r["canonical_source_key"].rsplit("/", 1)[1]: r["normalization_status"] for r in rows(archive.table("raw_payloads"), "id")}
-    assert status == {"01": "pending", "02": "pending", "03": "skipped", "open..open-limit-10": "parsed"}
+    assert status == {"05": "pending", "06": "pending", "07": "skipped", "open..open-limit-10": "parsed"}
     assert archive.table("errors").count() == 2 and archive.table("games").count() == 1
 
 
-@pytest.mark.slow
 def test_attempts_errors_and_validators(archive):
     headers = {"etag": '"a"', "last-modified": "Mon"}
     gone = answer(providers.user_profile("chess.com", "gone"), None, 410)
@@ -137,7 +132,6 @@ def test_attempts_errors_and_validators(archive):
     assert (v["etag"], v["last_modified"]) == ('"a"', "Mon")
 
 
-@pytest.mark.slow
 def test_commits_are_checked_and_atomic(archive, spark):
     users = archive.table("provider_users")
     bad = spark.createDataFrame([(1, "nowhere", None, "x", "x", None, None, 1, 1)], users.schema)
@@ -154,7 +148,6 @@ def test_commits_are_checked_and_atomic(archive, spark):
     assert archive.vacuum() >= 0 and archive.summary()["providers"] == ["chess.com", "lichess"] and archive.summary()["tables"] == 16
 
 
-@pytest.mark.slow
 def test_corrupted_body_is_an_error(archive):
     ingest.land(archive, ingest.landed(archive.spark, [answer(MONTH, {"games": []})]))
     raw = archive.table("raw_payloads").withColumn("raw_body", F.lit(b"x"))
