@@ -40,8 +40,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = keyed(docs, "lang", "source", "n_chars")
     found = leaks.find_leaks(docs.select(F.col("row").alias("doc_id"), "text"), documents(spark, sf_dir, "benchmark"))
     leaked = stash(found.select(F.col("doc_id").alias("row")).distinct(), "leaked")
-    few = leaked.count() <= minhash.BROADCAST_IDS
-    return docs.join(F.broadcast(leaked) if few else leaked, "row", "left_anti").select(*COLUMNS)
+    return docs.join(leaked, "row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
