@@ -104,8 +104,8 @@ def init(app: App, args: argparse.Namespace) -> int:
 
 
 def provider_list(app: App, args: argparse.Namespace) -> int:
-    rows = [(p.key, p.id_model, p.archive_unit, p.caching, p.rate_limit, p.auth) for _, p in sorted(providers.PROVIDERS.items())]
-    print(export.text_table(["PROVIDER", "ID MODEL", "ARCHIVE UNIT", "CACHING", "429 POLICY", "AUTH"], rows))
+    rows = [(p.key, p.base_url, "game or window" if p.single_games else "month", "validators" if p.pace.validators else "body hash", f"{p.pace.apart:g} s", "as asked" if p.pace.penalty is None else f"{p.pace.penalty:g} s") for p in providers.PROVIDERS.values()]
+    print(export.text_table(["PROVIDER", "ADDRESS", "FETCHED BY", "UNCHANGED BY", "APART", "WAIT AFTER 429"], rows))
     return 0
 
 

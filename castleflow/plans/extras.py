@@ -87,3 +87,18 @@ def rating_change(games: DataFrame, seconds: int) -> DataFrame:
     w = Window.partitionBy("provider", F.col("me.user_id")).orderBy("ended_at").rangeBetween(-seconds, Window.currentRow)
     s = s.withColumn("gain", F.col("me.rating") - F.min("me.rating").over(w))
     return s.groupBy("provider", F.col("me.user_id").alias("user_id")).agg(F.max("gain").alias("largest_gain"), F.count(F.lit(1)).alias("rated_seats"))
+
+
+def score_against_higher(games: DataFrame, gap: int) -> DataFrame:
+    """Each user's score in decided games against opponents rated at least ``gap`` higher. A neutral figure; ``games`` says how few it may rest on."""
+    s = seats(games).where("me.user_id is not null and outcome is not null and other.rating >= me.rating + " + str(int(gap)))
+    outcome, color = F.col("outcome"), F.col("color")
+    points = F.count_if(codes.wins(color, outcome)) + F.count_if(outcome == "draw") / 2
+    return s.groupBy("provider", F.col("me.user_id").alias("user_id")).agg(F.count(F.lit(1)).alias("games"), F.round(100.0 * points / F.count(F.lit(1)), 2).alias("score_percent"))
+
+
+def neighbour_labels(neighbours: DataFrame, status: DataFrame) -> DataFrame:
+    """How many of a user's opponents carry a label of the provider's. Counts of labels only: being an opponent says nothing about anyone."""
+    labelled = F.count_if(F.col("account_status").isNotNull())
+    held = neighbours.join(status, ["provider", "opponent_id"])
+    return held.groupBy("provider", "user_id").agg(F.count(F.lit(1)).alias("neighbours"), labelled.alias("labelled"), F.round(100.0 * labelled / F.count(F.lit(1)), 2).alias("percent"))

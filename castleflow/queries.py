@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castleflow.functions import codes
-from castleflow.operators import merge
-from castleflow.plans import extras, graph, reports
-from castleflow.plans.adapter import Model, oracle
-
-Query = Callable[[SparkSession, str], DataFrame]
+from castleflow.operators import ingest, merge
+from castleflow.plans import extras, graph, jobs, reports
+from castleflow.plans.adapter import Model
+from castleflow.registry import query
 
 USER = "customer#000000007"
 SINCE, UNTIL = 852076800, 883612800  # the year 1997
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *more: str):
-    """Register a function of a model as a query under its own name, with its SQL."""
-
-    def register(f: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, folder: f(Model(spark, folder))
-        if sql:
-            ORACLES[f.__name__] = oracle(sql, *more)
-        return f
-
-    return register
-
 
 SCORES = "CAST(count(*) FILTER (won) AS BIGINT) AS {p}wins, CAST(count(*) FILTER (outcome = 'draw') AS BIGINT) AS draws, CAST(count(*) FILTER (lost) AS BIGINT) AS {p}losses, CAST(count(*) FILTER (outcome IS NULL) AS BIGINT) AS unfinished"
 MY_SCORES, ALL_SCORES = SCORES.format(p="my_"), SCORES.format(p="")
@@ -117,44 +99,42 @@ def job_kind_state_depth(m: Model) -> DataFrame:
 _STATUS = "CASE WHEN bool_or(state IN ('pending', 'in_progress')) THEN 'running' WHEN bool_or(state = 'blocked') THEN 'paused' WHEN bool_or(state = 'error') THEN 'failed' ELSE 'done' END"
 
 
-@query(f"SELECT crawl_run_id, {_STATUS} AS status FROM jobs WHERE priority < 3 GROUP BY crawl_run_id")
-def derive_run_status(m: Model) -> DataFrame:
-    from castleflow.plans.jobs import run_status
+def _short_runs(m: Model) -> DataFrame:
+    """All jobs, dealt to so many runs that these differ in what they hold."""
+    return m.jobs.withColumn("crawl_run_id", F.col("id") % 4999)
 
-    return run_status(m.jobs.where("priority < 3"))
 
+@query(f"SELECT id % 4999 AS crawl_run_id, {_STATUS} AS status FROM jobs GROUP BY 1")
+def derive_run_status(m: Model) -> DataFrame:
+    return jobs.run_status(_short_runs(m))
 
-@query(f"SELECT status, count(*) AS count FROM (SELECT crawl_run_id, {_STATUS} AS status FROM jobs WHERE priority < 3 GROUP BY crawl_run_id) GROUP BY status")
-def run_status_counts(m: Model) -> DataFrame:
-    from castleflow.plans.jobs import run_status
 
-    return reports.counts_by(run_status(m.jobs.where("priority < 3")), "status")
+@query(f"SELECT status, count(*) AS count FROM (SELECT id % 4999 AS run, {_STATUS} AS status FROM jobs GROUP BY 1) GROUP BY status")
+def run_status_counts(m: Model) -> DataFrame:
+    return reports.counts_by(jobs.run_status(_short_runs(m)), "status")
 
 
-@query("SELECT crawl_run_id, count(*) AS jobs_total, count(DISTINCT lower(target)) AS users_seen, " + ", ".join(f"count(*) FILTER (state = '{s}') AS jobs_{s}" for s in ("pending", "in_progress", "done", "error", "skipped", "blocked")) + " FROM jobs GROUP BY crawl_run_id")
+@query(
+    "SELECT crawl_run_id, count(*) AS jobs_total, count(DISTINCT lower(target)) AS users_seen, " + ", ".join(f"count(*) FILTER (state = '{s}') AS jobs_{s}" for s in ("pending", "in_progress", "done", "error", "skipped", "blocked"))
+    + ", (SELECT count(*) FROM games g WHERE g.id % 12 = crawl_run_id) AS edges FROM jobs GROUP BY crawl_run_id"
+)
 def run_counters(m: Model) -> DataFrame:
-    from castleflow.plans.jobs import run_counters as counters
-
-    return counters(m.jobs)
+    return jobs.run_counters(m.jobs, m.games.select((F.col("id") % 12).alias("crawl_run_id")))
 
 
 @query("SELECT id, crawl_run_id, provider, kind, target, state, priority, depth, enqueued_at FROM jobs WHERE state = 'pending' AND crawl_run_id = 3 ORDER BY priority, depth, enqueued_at, id LIMIT 1")
 def next_job(m: Model) -> DataFrame:
-    from castleflow.plans.jobs import next_job as pick
-
-    return pick(m.jobs, 3)
+    return jobs.next_job(m.jobs, 3)
 
 
 @query("SELECT id, crawl_run_id, provider, kind, target, state, priority, depth, enqueued_at FROM jobs ORDER BY id LIMIT 100")
 def list_jobs(m: Model) -> DataFrame:
-    return m.jobs.orderBy("id").limit(100)
+    return jobs.list_jobs(m.jobs, 100)
 
 
 @query("SELECT crawl_run_id, provider, lower(target) AS username, min(depth) AS depth FROM jobs GROUP BY ALL")
 def known_crawl_depth(m: Model) -> DataFrame:
-    from castleflow.plans.jobs import known_depths
-
-    return known_depths(m.jobs)
+    return jobs.known_depths(m.jobs)
 
 
 @query(
@@ -195,10 +175,9 @@ def remaining_game_budget(m: Model) -> DataFrame:
 # --- scalar rules -------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, nullif(lower(regexp_replace(left(text, 24), '^\\s+|\\s+$', '', 'g')), '') AS username FROM documents WHERE regexp_matches(left(text, 24), '^[\\x00-\\x7F]*$')")
+@query("SELECT doc_id, nullif(lower(regexp_replace('  ' || text || chr(10), '^\\s+|\\s+$', '', 'g')), '') AS username FROM documents")
 def norm_username(m: Model) -> DataFrame:
-    short = F.left("text", F.lit(24))
-    return m.table("documents").where(short.rlike(r"^[\x00-\x7F]*$")).select("doc_id", codes.username(short).alias("username"))
+    return m.table("documents").select("doc_id", codes.username(F.concat(F.lit("  "), "text", F.lit("\n"))).alias("username"))
 
 
 @query("SELECT p_partkey, CASE t WHEN 'daily' THEN 'correspondence' WHEN 'ultrabullet' THEN 'bullet' ELSE t END AS time_class FROM (SELECT p_partkey, lower(trim(['Daily', ' ultraBullet', 'Blitz', 'custom', 'correspondence'][p_size % 5 + 1])) AS t FROM part)")
@@ -321,10 +300,10 @@ def seat_unpivot(m: Model) -> DataFrame:
     return seats(m.games).select(F.col("id").alias("game_id"), "color", F.col("me.user_id").alias("provider_user_id"), F.col("me.username").alias("username_normalized"), F.col("me.is_winner").cast("int").alias("is_winner"))
 
 
-@query("SELECT provider, endpoint_type, canonical_source_key, body_hash, min(id) AS id, count(*) AS arrivals FROM raw GROUP BY ALL")
+@query("SELECT provider, endpoint_type, canonical_source_key, body_hash, arg_min(fetched_at, id) AS fetched_at, min(id) AS id FROM raw GROUP BY ALL")
 def raw_dedup(m: Model) -> DataFrame:
     key = ["provider", "endpoint_type", "canonical_source_key", "body_hash"]
-    return m.raw.groupBy(*key).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("arrivals"))
+    return merge.first_of(m.raw.select(*key, "id", "fetched_at"), key, ["id"])
 
 
 @query("SELECT DISTINCT ON (provider, endpoint_type, canonical_source_key, body_hash) provider, endpoint_type, canonical_source_key, body_hash, id FROM raw r WHERE id >= 300 AND NOT EXISTS (SELECT 1 FROM raw o WHERE o.id < 300 AND o.provider = r.provider AND o.endpoint_type = r.endpoint_type AND o.canonical_source_key = r.canonical_source_key AND o.body_hash = r.body_hash) ORDER BY ALL")
@@ -334,56 +313,11 @@ def raw_insert_absent(m: Model) -> DataFrame:
     return merge.insert_absent(rows.where("id < 300"), rows.where("id >= 300"), key, ["id"]).select(*key, "id")
 
 
-@query("SELECT user_id, max_by(event_type, struct_pack(ts := ts, id := event_id)) AS etag, max_by(json_extract_string(props, '$.k'), struct_pack(ts := ts, id := event_id)) AS last_modified FROM events GROUP BY user_id")
+@query("SELECT user_id AS canonical_source_key, max_by(event_type, struct_pack(ts := ts, id := event_id)) AS etag, max_by(json_extract_string(props, '$.k'), struct_pack(ts := ts, id := event_id)) AS last_modified FROM events GROUP BY user_id")
 def latest_validators(m: Model) -> DataFrame:
-    e = m.table("events").select("user_id", "ts", "event_id", F.col("event_type").alias("etag"), F.get_json_object("props", "$.k").alias("last_modified"))
-    return merge.latest_of(e, ["user_id"], ["ts", "event_id"]).select("user_id", "etag", "last_modified")
-
-
-_OBSERVED = "observed AS (SELECT user_id, event_id AS seq, event_type AS name, CASE WHEN event_id % 3 = 0 THEN event_type END AS status, CASE WHEN event_id % 7 = 0 THEN 'T' || event_id END AS title, CAST(floor(epoch(ts)) AS BIGINT) AS seen FROM events)"
-
-
-def _observed(m: Model) -> DataFrame:
-    e = m.table("events")
-    return e.select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("name"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("status"), F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("T"), F.col("event_id"))).alias("title"), codes.epoch_of(F.col("ts")).alias("seen"))
-
-
-@query("SELECT user_id, arg_max(name, seq) AS display_username, arg_max(status, seq) FILTER (status IS NOT NULL) AS account_status, arg_max(title, seq) FILTER (title IS NOT NULL) AS title, arg_min(seen, seq) AS first_seen_at, arg_max(seen, seq) AS updated_at FROM observed GROUP BY user_id", _OBSERVED)
-def merge_users(m: Model) -> DataFrame:
-    rows = _observed(m).select("user_id", "seq", F.col("name").alias("display_username"), F.col("status").alias("account_status"), "title", F.col("seen").alias("first_seen_at"), F.col("seen").alias("updated_at"))
-    policies = {k: v for k, v in merge.USERS.items() if k != "provider_user_id"}
-    # in two batches, the second merged into the first
-    current = merge.reduce_by(rows.where("seq < 4000"), ["user_id"], F.col("seq"), policies)
-    return merge.merge(current, rows.where("seq >= 4000"), ["user_id"], ["seq"], policies)
-
-
-@query(
-    "SELECT user_id AS game, arg_max(name, seq) AS outcome, arg_max(status, seq) FILTER (status IS NOT NULL) AS eco, arg_max(title, seq) FILTER (title IS NOT NULL) AS canonical_url, arg_min(seen, seq) AS first_seen_at FROM (SELECT user_id, seq, CASE WHEN seq % 2 = 0 THEN name ELSE '-' END AS name, status, title, seen FROM observed) GROUP BY user_id",
-    _OBSERVED,
-)
-def merge_games(m: Model) -> DataFrame:
-    rows = _observed(m).select(F.col("user_id").alias("game"), "seq", F.when(F.col("seq") % 2 == 0, F.col("name")).otherwise("-").alias("outcome"), F.col("status").alias("eco"), F.col("title").alias("canonical_url"), F.col("seen").alias("first_seen_at"))
-    policies = {c: merge.GAMES[c] for c in ("outcome", "eco", "canonical_url", "first_seen_at")}
-    current = merge.reduce_by(rows.where("seq < 1000"), ["game"], F.col("seq"), policies)
-    return merge.merge(current, rows.where("seq >= 1000"), ["game"], ["seq"], policies)
-
-
-@query("SELECT user_id AS game_id, name AS color, arg_max(status, seq) FILTER (status IS NOT NULL) AS result_raw, arg_max_null(title, seq) AS is_winner FROM observed GROUP BY ALL", _OBSERVED)
-def merge_participants(m: Model) -> DataFrame:
-    rows = _observed(m).select(F.col("user_id").alias("game_id"), F.col("name").alias("color"), "seq", F.col("status").alias("result_raw"), F.col("title").alias("is_winner"))
-    return merge.reduce_by(rows, ["game_id", "color"], F.col("seq"), {c: merge.SEATS[c] for c in ("result_raw", "is_winner")})
-
-
-@query("SELECT provider_user_id, content_hash, arg_max(captured_at, event_id) AS captured_at, arg_min(status, event_id) AS status FROM snapshots GROUP BY ALL")
-def merge_snapshots(m: Model) -> DataFrame:
-    return merge.reduce_by(m.snapshots, ["provider_user_id", "content_hash"], F.col("event_id"), {c: merge.SNAPSHOTS[c] for c in ("captured_at", "status")})
-
-
-@query("SELECT o_custkey AS from_user_id, l_suppkey AS to_user_id, CAST(min(l_linenumber) AS BIGINT) AS depth, CAST(max(l_quantity) AS BIGINT) AS game_count, arg_min(l_orderkey, l_orderkey * 10 + l_linenumber) AS via_game_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL")
-def merge_edges(m: Model) -> DataFrame:
-    lines = m.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_linenumber", "l_quantity")
-    rows = lines.join(m.table("orders").select("o_orderkey", "o_custkey"), "o_orderkey").select(F.col("o_custkey").alias("from_user_id"), F.col("l_suppkey").alias("to_user_id"), F.col("l_linenumber").cast("bigint").alias("depth"), F.col("l_quantity").cast("bigint").alias("game_count"), F.col("o_orderkey").alias("via_game_id"), "l_linenumber")
-    return merge.reduce_by(rows, ["from_user_id", "to_user_id"], F.col("via_game_id") * 10 + F.col("l_linenumber"), {c: merge.EDGES[c] for c in ("depth", "game_count", "via_game_id")})
+    headers = F.to_json(F.create_map(F.lit("etag"), F.col("event_type"), F.when(F.col("event_id") % 2 == 0, "last-modified").otherwise("last_modified"), F.get_json_object("props", "$.k")))
+    e = m.table("events").select(F.col("user_id").alias("canonical_source_key"), F.col("ts").alias("fetched_at"), F.col("event_id").alias("id"), headers.alias("response_headers"))
+    return ingest.latest_validators(e)
 
 
 @query("SELECT CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size % 5 END AS days, p_type AS time_class, CAST(min(p_partkey) AS BIGINT) AS p_partkey FROM part GROUP BY ALL")
@@ -477,7 +411,12 @@ def reachable_count(m: Model) -> DataFrame:
     return graph.reachable(_neighbours(m), _seed(m)).groupBy("provider").agg(F.count(F.lit(1)).alias("users"))
 
 
-@query()
+@query(
+    "SELECT provider, user_id, min(reached) AS component FROM r GROUP BY ALL",
+    "links AS (SELECT DISTINCT provider, me, other FROM seats)",
+    # a number spreads over larger ones only: the smallest of a component still gets everywhere
+    "r AS (SELECT DISTINCT provider, me AS user_id, me AS reached FROM links UNION SELECT l.provider, l.other, r.reached FROM r JOIN links l ON l.provider = r.provider AND l.me = r.user_id WHERE r.reached < l.other)",
+)
 def user_components(m: Model) -> DataFrame:
     return graph.components(_neighbours(m))
 

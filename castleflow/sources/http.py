@@ -8,7 +8,7 @@ import urllib.request
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from castleflow.sources.providers import Request, Settings, provider
+from castleflow.sources.providers import Request, Settings
 
 KEPT_HEADERS = ("etag", "last-modified", "content-type", "content-length", "retry-after")
 
@@ -67,6 +67,11 @@ def kept_headers(headers: Mapping[str, str]) -> dict[str, str]:
     return {k.lower(): v for k, v in headers.items() if k.lower() in KEPT_HEADERS}
 
 
+def sent_headers(headers: Mapping[str, str]) -> dict[str, str]:
+    """Never a cookie or a key of someone's."""
+    return {k: v for k, v in headers.items() if k.lower() not in ("cookie", "x-api-key")}
+
+
 def retry_after(headers: Mapping[str, str]) -> int | None:
     try:
         return max(0, int(headers["retry-after"]))
@@ -86,11 +91,11 @@ class Client:
         self._last[key] = self.clock()
 
     def fetch(self, request: Request, etag: str | None = None, last_modified: str | None = None) -> Answer:
-        policy = provider(request.provider).policy
-        headers = {k: v for k, v in request.headers(self.settings, etag, last_modified).items() if k.lower() not in ("cookie", "x-api-key")}
+        pace = self.settings.pace(request.provider)
+        headers = sent_headers(request.headers(self.settings, etag, last_modified))
         attempts: list[Attempt] = []
-        for n in range(1, policy.max_retries + 2):
-            self._pace(request.provider, policy.min_delay_s)
+        for n in range(1, pace.retries + 2):
+            self._pace(request.provider, pace.apart)
             began = self.clock()
             try:
                 status, got, body = self.transport(request.url, headers, self.timeouts[request.provider])
@@ -102,7 +107,7 @@ class Client:
             took = int(max(0.0, self.clock() - began) * 1000)
             attempts.append(Attempt(request.provider, request.endpoint_type, request.url, "GET", status, int(began), n, held, wait, None if body is None else len(body), took, status == 304))
             again = status is None or status == 429 or 500 <= status <= 599
-            if not again or n > policy.max_retries:
+            if not again or n > pace.retries:
                 return Answer(request, status or 0, int(began), held, body, tuple(attempts))
-            self.sleep(policy.before_retry(status, wait, n))
+            self.sleep(pace.pause(status, wait, n))
         raise AssertionError("the last attempt returns")

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from castleflow import queries
+from castleflow import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,12 +27,12 @@ def plain(v):
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_its_sql(spark, sql, name):
-    df = queries.QUERIES[name](spark, FOLDER)
+    df = catalog.QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
     ours = [tuple(plain(r[c]) for c in columns) for r in df.collect()]
-    rel = sql.sql(queries.ORACLES[name])
+    rel = sql.sql(catalog.ORACLES[name])
     assert sorted(rel.columns) == columns
     place = [rel.columns.index(c) for c in columns]
     theirs = [tuple(plain(r[i]) for i in place) for r in rel.fetchall()]
