@@ -29,8 +29,9 @@ def _score(color: Column, outcome: Column, prefix: str = "") -> list[Column]:
 def user_lookup(users: DataFrame, games: DataFrame, snapshots: DataFrame, provider: str, username: str) -> DataFrame:
     """Nine columns of one user, with the numbers of snapshots and of seats in games."""
     me = _user(users, provider, username)
-    held = snapshots.groupBy(F.col("provider_user_id").alias("id")).agg(F.count(F.lit(1)).alias("snapshots"))
-    played = seats(games.where(F.col("provider") == provider)).groupBy(F.col("me.user_id").alias("id")).agg(F.count(F.lit(1)).alias("games"))
+    own = F.broadcast(me.select("id"))  # a name is one user of its provider
+    held = snapshots.select(F.col("provider_user_id").alias("id")).join(own, "id").groupBy("id").agg(F.count(F.lit(1)).alias("snapshots"))
+    played = seats(games.where(F.col("provider") == provider)).select(F.col("me.user_id").alias("id")).join(own, "id").groupBy("id").agg(F.count(F.lit(1)).alias("games"))
     found = me.join(held, "id", "left").join(played, "id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
     return found.select("id", "provider", "provider_user_id", F.col("username_normalized").alias("username"), "display_username", "account_status", "title", zero("snapshots"), zero("games"))
@@ -60,8 +61,8 @@ def raw_recent(raw: DataFrame, provider: str, limit: int) -> DataFrame:
 
 def provider_summary(providers: DataFrame, users: DataFrame, games: DataFrame) -> DataFrame:
     """Users and games of each provider; each side is counted by itself, so that nothing fans out."""
-    u = users.groupBy("provider").agg(F.count_distinct("id").alias("users"))
-    g = games.groupBy("provider").agg(F.count_distinct("id").alias("games"))
+    u = users.groupBy("provider").agg(F.count("id").alias("users"))
+    g = games.groupBy("provider").agg(F.count("id").alias("games"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
     every = providers.select(F.col("key").alias("provider"))
     return every.join(u, "provider", "left").join(g, "provider", "left").select("provider", zero("users"), zero("games")).orderBy("provider")
@@ -74,7 +75,8 @@ def counts_by(table: DataFrame, *keys: str) -> DataFrame:
 def user_game_summary(users: DataFrame, games: DataFrame, provider: str, username: str) -> DataFrame:
     """Fifteen columns of one user: always one row for a known user. A game against oneself counts for both seats."""
     me = _user(users, provider, username).select(F.col("id").alias("user_id"), "provider", F.col("username_normalized").alias("username"), "display_username", "account_status")
-    return me.join(_summaries(games.where(F.col("provider") == provider)), ["provider", "user_id"], "left").select(*_summary())
+    own = F.broadcast(me.select("provider", "user_id"))  # one row: only the user's seats are aggregated
+    return me.join(_summaries(games.where(F.col("provider") == provider), own), ["provider", "user_id"], "left").select(*_summary())
 
 
 def user_summaries(users: DataFrame, games: DataFrame) -> DataFrame:
@@ -89,10 +91,12 @@ def _summary() -> list[Column | str]:
     return ["user_id", "provider", "username", "display_username", "account_status", *counts, "first_game_ts", "last_game_ts", zero("distinct_opponents")]
 
 
-def _summaries(games: DataFrame) -> DataFrame:
-    mine = seats(games.select("id", "provider", "outcome", "rated", "ended_at", "white", "black")).where("me.user_id is not null")
+def _summaries(games: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    mine = seats(games.select("id", "provider", "outcome", "rated", "ended_at", "white", "black")).where("me.user_id is not null").withColumn("user_id", F.col("me.user_id"))
+    if own is not None:
+        mine = mine.join(own, ["provider", "user_id"])
     outcome, color = F.col("outcome"), F.col("color")
-    return mine.groupBy("provider", F.col("me.user_id").alias("user_id")).agg(
+    return mine.groupBy("provider", "user_id").agg(
         F.count("id").alias("games"), count_if(F.col("rated"), "rated_games"), count_if(~F.col("rated"), "unrated_games"), *_score(color, outcome),
         F.min("ended_at").alias("first_game_ts"), F.max("ended_at").alias("last_game_ts"), F.count_distinct("other.user_id").alias("distinct_opponents"),
     )
@@ -101,7 +105,7 @@ def _summaries(games: DataFrame) -> DataFrame:
 def opponent_report(users: DataFrame, games: DataFrame, provider: str, username: str) -> DataFrame:
     """Eight columns for each opponent with a user row, most games first."""
     me = _user(users, provider, username).select(F.col("id").alias("user_id"))
-    mine = _sides(games.where(F.col("provider") == provider)).join(me, "user_id")
+    mine = _sides(games.where(F.col("provider") == provider)).join(F.broadcast(me), "user_id")  # one row
     return _opponents(mine, users.where(F.col("provider") == provider), []).orderBy(F.desc("games"), "opponent_username")
 
 

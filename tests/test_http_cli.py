@@ -7,7 +7,7 @@ from test_ingest import MONTH, answer, cc_game, li_game
 
 from castleflow import cli
 from castleflow.plans.runner import Service
-from castleflow.sources import providers
+from castleflow.sources import clients, providers
 from castleflow.sources.http import Client
 
 
@@ -144,3 +144,33 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert run() == (2, 2) and run() == (2, 2)
     (folder / "c.ndjson").write_text(json.dumps(li_game("g3")))
     assert run() == (3, 3)
+
+
+def test_clients_list_units_and_walk_them():
+    asked = []
+
+    class Books:
+        def fetch(self, request, etag=None, last_modified=None):
+            asked.append(request.source_key)
+            return answer(request, {"archives": ["https://x.example/games/2023/05", "https://x.example/games/2023/11/"]})
+
+    cc, li = (clients.client(k, Books()) for k in ("chess.com", "lichess"))
+    assert isinstance(cc, clients.Source) and isinstance(li, clients.Source) and cc.info().key == "chess.com"
+    assert [u.unit_id for u in cc.units(" Marigold ", 1, 2)] == ["2023/05", "2023/11"]
+    assert len(list(cc.games("Marigold"))) == 2 and asked[-1] == "chess.com/player/marigold/games/2023/11"
+    assert [u.unit_id for u in li.units("Marigold", 0, None)] == ["1970-01-01..open"]
+    assert len(list(li.games("Marigold", 0, 86400, 5))) == 1 and asked[-1] == "lichess/games/user/marigold/1970-01-01..1970-01-02-limit-5"
+    li.game("AbC"), li.statistics("Marigold"), cc.statistics("Marigold"), cc.profile("Marigold")
+    assert asked[-4:] == ["lichess/game/AbC", "lichess/user/marigold/profile", "chess.com/player/marigold/stats", "chess.com/player/marigold/profile"]
+    with pytest.raises(ValueError):
+        list(li.games("Marigold"))
+    with pytest.raises(NotImplementedError):
+        cc.game("x")
+    with pytest.raises(providers.UnknownProvider):
+        clients.client("other", Books())
+
+
+def test_settings_name_each_providers_pace():
+    s = providers.Settings.from_env({"CASTLEFLOW_DELAY_LICHESS": "4.5", "CASTLEFLOW_RETRIES_CHESS_COM": "1", "CASTLEFLOW_CONTACT": "a@b.example"})
+    assert (s.pace("lichess").apart, s.pace("lichess").penalty, s.pace("chess.com").retries, s.pace("chess.com").apart) == (4.5, 60.0, 1, 1.0)
+    assert "a@b.example" in s.agent and providers.Settings().pace("lichess").apart == 1.5

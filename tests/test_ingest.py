@@ -174,3 +174,18 @@ def test_numbers_are_dense_and_ordered(spark):
     got = merge.number_from(df, ["x"], 5).orderBy("x").collect()
     assert [r["id"] for r in got] == list(range(5, 1005))
     assert merge.number_from(df.where("x < 0"), ["x"], 5).count() == 0
+
+
+def test_payloads_are_read_by_id_and_never_rewritten(archive):
+    take(archive, answer(MONTH, {"games": [cc_game("u1")]}), answer(providers.archives_index("Marigold"), {"archives": []}))
+    held = ingest.read_payload(archive, 1)
+    assert json.loads(held["raw_body"])["games"][0]["uuid"] == "u1" and held["normalization_status"] == "parsed" and held["normalized_at"] == NOW
+    assert ingest.read_payload(archive, 2)["normalization_status"] == "skipped"
+    with pytest.raises(KeyError):
+        ingest.read_payload(archive, 9)
+    folders = archive.manifest()["tables"]["raw_payloads"]
+    take(archive, answer(STREAM, json.dumps(li_game("g1")).encode()))
+    after = archive.manifest()["tables"]["raw_payloads"]
+    assert after[: len(folders)] == folders and len(after) == len(folders) + 1
+    archive.compact("raw_payloads")
+    assert archive.table("raw_payloads").count() == 3 and len(archive.manifest()["tables"]["raw_payloads"]) == 1
