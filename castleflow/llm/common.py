@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from castleflow.operators.shared import settle
 
 #: Bytes of text that one vectorised block holds; bounds a worker's arrays.
 BLOCK_BYTES = 1 << 19
@@ -19,22 +22,8 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local"):
-        return "file:///tmp/checkpoints/castleflow"
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_castleflow"
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Cut lineage: write a frame as Parquet in the shared folder and read it back.
+stash = settle
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -49,17 +38,6 @@ def parts_for(df: DataFrame, each: int) -> int:
     return max(least, min(-(-input_bytes(df) // each), 1 << 20))
 
 
-#: Bytes up to which a narrow table is sent to all executors instead of shuffling the texts it is joined with.
-SEND_BYTES = 32 << 20
-
-
-def sendable(df: DataFrame, weight: Column, label: str, limit: int = SEND_BYTES) -> DataFrame:
-    """``df`` written down, and marked for broadcast if the sum of ``weight`` (bytes of a row) is within the limit."""
-    df = stash(df, label)
-    size = df.agg(F.sum(weight)).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
-
-
 # --- vectorised text ----------------------------------------------------------------------
 
 
@@ -123,11 +101,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Ranges up to so many symbols get the vectorised hash; longer ones a cryptographic one.
+SHORT = 128
+#: Symbols of a prefix sum; bounds the arrays of a hash, however long a document is.
+STRETCH = 1 << 18
+
+
 class Powers:
-    """Powers of an odd base modulo 2**64 and their inverses, grown on demand."""
+    """Powers of an odd base modulo 2**64 and their inverses, as many as one stretch takes."""
 
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+    def __init__(self, base: int, name: bytes) -> None:
+        self.base, self.inverse, self.name = base, pow(base, -1, 1 << 64), name
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,12 +122,85 @@ class Powers:
         return self.up, self.down
 
 
-FIRST, SECOND = Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95)
+FIRST, SECOND = Powers(0x9E3779B97F4A7C15, b"first"), Powers(0xD1342543DE82EF95, b"second")
 
 
 def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers = FIRST) -> np.ndarray:
-    """A 64-bit hash of each range of ``values``, by one prefix sum over all of them."""
-    up, down = powers.get(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each range of ``values``.
+
+    Up to ``SHORT`` symbols it is a polynomial, by prefix sums. Modulo 2**64 there are long strings
+    (Thue-Morse) that any polynomial confuses, but they need over a thousand symbols; longer
+    ranges are hashed by BLAKE2.
+    """
+    starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+    length = ends - starts
+    if not len(length):
+        return np.zeros(0, np.uint64)
+    if length.max() <= SHORT:
+        return _short_hash(values, starts, ends, powers)
+    out = np.empty(len(length), np.uint64)
+    short = length <= SHORT
+    out[short] = _short_hash(values, starts[short], ends[short], powers)
+    far = np.flatnonzero(~short)
+    data, each = memoryview(np.ascontiguousarray(values)).cast("B"), values.itemsize
+    digests = b"".join(hashlib.blake2b(data[a:b], digest_size=8, person=powers.name).digest() for a, b in zip((starts[far] * each).tolist(), (ends[far] * each).tolist(), strict=True))
+    out[far] = np.frombuffer(digests, np.uint64)
+    return out
+
+
+def _short_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
+    if len(values) <= STRETCH + SHORT:
+        up, down = powers.get(len(values) + 1)
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
+        return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    order = None if (starts[1:] >= starts[:-1]).all() else np.argsort(starts, kind="stable")
+    if order is not None:
+        out = np.empty(len(starts), np.uint64)
+        out[order] = _short_hash(values, starts[order], ends[order], powers)
+        return out
+    found = []
+    for at in range(0, len(values), STRETCH):
+        a, b = np.searchsorted(starts, (at, at + STRETCH if at + STRETCH < len(values) else len(values) + 1))
+        found.append(_short_hash(values[at : at + STRETCH + SHORT], starts[a:b] - at, ends[a:b] - at, powers))
+    return np.concatenate(found)
+
+
+# --- memory of workers --------------------------------------------------------------------
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers wait for their next task with what they keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow whose worker keeps no freed memory after its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from of(batches)
+        finally:
+            release()
+
+    return run
+
+
+#: Bytes of a group after which its worker gives memory back.
+LARGE_GROUP = 4 << 20
+
+
+def lean_group(of: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for applyInArrow: memory goes back after each large group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        large = table.nbytes > LARGE_GROUP
+        out = of(table)
+        if large:
+            del table
+            release()
+        return out
+
+    return run

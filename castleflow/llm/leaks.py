@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castleflow.llm.common import ALNUM, BLOCK_BYTES, blocks, range_hash, stash, utf8, word_bounds
+from castleflow.llm.common import ALNUM, BLOCK_BYTES, blocks, lean, range_hash, stash, utf8, word_bounds
 from castleflow.llm.repeats import keyed
 
 ITEMS = 1024
@@ -297,11 +297,11 @@ LEAKS = "row long, item_id long, lcs_share double, answer_share double, cosine d
 
 def _leaks_of(text: DataFrame, rows: list[dict]) -> DataFrame:
     vocabulary = Vocabulary(np.unique(np.concatenate([_hashes(r["text"]) for r in rows])))
-    counted = text.mapInArrow(_frequencies(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counted = text.mapInArrow(lean(_frequencies(vocabulary)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(len(vocabulary.hashes) + 1, np.int64)
     for r in counted:
         counts[r["word"] + 1] = r["n"]
     idf = np.log((counts[0] + 2) / (counts[1:] + 1))
     other = float(idf.mean())
     spaces = _spaces(_read_items(rows), vocabulary, idf)
-    return stash(text.mapInArrow(_search(vocabulary, idf, other, spaces), LEAKS), "leaks")
+    return stash(text.mapInArrow(lean(_search(vocabulary, idf, other, spaces)), LEAKS), "leaks")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from castleflow.llm.common import ALNUM, LOWER, blocks, range_hash, utf8, word_bounds
+from castleflow.llm.common import ALNUM, LOWER, blocks, lean, range_hash, utf8, word_bounds
 
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -30,7 +30,7 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 TEMPLATES = {
     "mit": (
         "[this {what:4} is] {verb:1} under the [terms of the] mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software [and to permit persons to whom the software is furnished to do so subject to the following conditions] [the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software] [the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software]",
     ),
     "apache-2.0": (
         "licensed under the apache license version 2 0 [the license]",
@@ -48,9 +48,27 @@ TEMPLATES = {
     "cc-by-nc-4.0": ("licensed under [a] [the] [creative commons] cc by nc 4 0 [international] [license]", "licensed under [a] [the] creative commons attribution noncommercial 4 0 international [license]"),
     "cc-by-sa-4.0": ("licensed under [a] [the] [creative commons] cc by sa 4 0 [international] [license]", "licensed under [a] [the] creative commons attribution sharealike 4 0 international [license]"),
     "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
-    "unlicense": ("this is free and unencumbered software released into the public domain",),
+    "bsd-2-clause": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {mark:1} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer {mark:1} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution {mark:1} this software is provided by {holder:12} as is",
+    ),
+    "bsd-3-clause": (
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution {mark:1} neither the name of {holder:12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies [the software is provided as is and {who:4} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness]",
+    ),
+    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0 [if a copy of the mpl was not distributed with this file you can obtain one at {where:8}]",),
+    "lgpl": ("under the [terms of the] gnu lesser general public license [as published by the free software foundation] [either] version {number:2} [of the license]",),
+    "agpl-3.0": ("under the [terms of the] gnu affero general public license [as published by the free software foundation] [either] version 3",),
+    "epl-2.0": ("[this program and the accompanying materials are] made available under the terms of the eclipse public license {version:3} which is available at {where:8}",),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software [permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions]",
+    ),
+    "bsl-1.0": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",),
+    "cc0-1.0": ("to the extent possible under law {who:8} has waived all copyright and related or neighboring rights to this work", "released under [the] [creative commons] cc0 1 0 [universal] [license] [public domain dedication]"),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain [anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means]",
+    ),
     "proprietary": ("copyright [c] {year:2} {owner:6} all rights reserved",),
 }
 
@@ -204,17 +222,29 @@ def find_licenses(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templat
     are scanned each for itself; extra columns are ignored; an empty table gives an empty result.
     """
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double" + ", readings string" * with_spans
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_scan(phrases, templates, with_spans), schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(_scan(phrases, templates, with_spans)), schema)
+
+
+def _expression(template: Template) -> str:
+    """A template as a regular expression over words that end in a space each."""
+    out = []
+    for m in _TOKEN.finditer(template.markup):
+        out.append("(?:" if m[0] == "[" else ")?" if m[0] == "]" else f"(?:[^ ]+ ){{0,{m[1]}}}" if m[1] else f"{m[0]} ")
+    return " " + "".join(out)
 
 
-#: DuckDB SQL for what doesn't depend on the templates.
-BASE_ORACLE = r"""
+def oracle(phrases: dict[str, str] = PHRASES, templates: tuple[Template, ...] = ALL) -> str:
+    """DuckDB SQL for find_licenses without the readings, where doc_id is unique."""
+    stands = lambda phrase: " AND ".join(f"w[k + {i}] = '{x}'" for i, x in enumerate(phrase.split(), 1))
+    places = " UNION ALL ".join(f"SELECT doc_id, k, '{label}' AS label FROM i WHERE {stands(phrase)}" for phrase, label in phrases.items())
+    read = " UNION ALL ".join(f"SELECT doc_id, '{t.label}' AS label FROM t WHERE regexp_matches(' ' || array_to_string(w, ' ') || ' ', '{_expression(t)}')" for t in templates)
+    listed = "coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM (SELECT DISTINCT label FROM {} x WHERE x.doc_id = t.doc_id)), '')"
+    return rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT doc_id, w, unnest(range(len(w))) AS k FROM t),
-p AS (SELECT doc_id, k, 'cc-by' AS label FROM i WHERE w[k + 1] = 'cc' AND w[k + 2] = 'by'
-  UNION ALL SELECT doc_id, k, 'gpl' FROM i WHERE w[k + 1] = 'general' AND w[k + 2] = 'public' AND w[k + 3] = 'license'
-  UNION ALL SELECT doc_id, k, 'reserved' FROM i WHERE w[k + 1] = 'all' AND w[k + 2] = 'rights' AND w[k + 3] = 'reserved')
-SELECT t.doc_id, CAST(any_value(len(t.w)) AS BIGINT) AS n_words, CAST(count(k) AS BIGINT) AS n_base, CAST(min(k) AS BIGINT) AS first_word, CAST(max(k) AS BIGINT) AS last_word,
-  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
-FROM t LEFT JOIN p USING (doc_id) GROUP BY t.doc_id
+p AS ({places}),
+r AS ({read}),
+said AS (SELECT doc_id, label FROM p UNION ALL SELECT doc_id, label FROM r)
+SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, (SELECT count(*) FROM p WHERE p.doc_id = t.doc_id) AS n_base, (SELECT CAST(min(k) AS BIGINT) FROM p WHERE p.doc_id = t.doc_id) AS first_word, (SELECT CAST(max(k) AS BIGINT) FROM p WHERE p.doc_id = t.doc_id) AS last_word,
+  {listed.format("p")} AS base_labels, {listed.format("said")} AS labels, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.doc_id = t.doc_id) THEN 1.0 WHEN EXISTS (SELECT 1 FROM p WHERE p.doc_id = t.doc_id) THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM t
 """
