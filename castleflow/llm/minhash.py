@@ -9,8 +9,9 @@
 3. Four bins make a band and each band of a class a bucket key. A pair at similarity 0.8 misses
    all 32 bands once in 20 million. A bucket's members are each paired with its centre first, the
    member with the least seeded hash: these pairs grow with rows, not with their square.
-4. Pairs are confirmed on the full sets. A class with many pairs is salted, so that its set
-   meets about a thousand partners in a task.
+4. The sets of all classes that share a bucket are read from the texts once. Pairs are confirmed
+   on these full sets. A class with many pairs is salted, so that its set meets about a thousand
+   partners in a task.
 5. Components of the confirmed links come from alternating stars.
 6. Buckets whose members these links leave in several components are open. There, all members of
    different components are compared, in cells of two blocks of members: no pair that meets in a
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castleflow.llm.common import FIRST, LOWER, SECOND, SEND_BYTES, blocks, mix64, range_hash, stash, utf8, word_bounds
+from castleflow.llm.common import FIRST, LOWER, SECOND, blocks, lean, lean_group, mix64, range_hash, stash, utf8, word_bounds
 from castleflow.llm.components import components
 from castleflow.llm.repeats import keyed
 
@@ -36,8 +37,6 @@ SIMILARITY = 80
 BINS, ROWS = 128, 4
 #: Probes of an empty bin before the next full one to the right is taken.
 PROBES = 64
-#: Up to so many ids are sent to all executors (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 #: Partners of one class that one task handles.
 PARTNERS = 1000
 #: Members of an open bucket that make a block; two blocks make a cell.
@@ -221,36 +220,32 @@ def _spokes(classes: DataFrame) -> DataFrame:
     return bands.join(stars, "key").select("key", "band", "rep", F.col("least").bitwiseXOR(veil).alias("centre")).where("rep != centre")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """row and shingles of the documents that ``ids`` (row) names."""
-    ids = stash(ids.distinct(), "pair-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("row", "text").join(F.broadcast(ids) if few else ids, "row")
-    return stash(texts.mapInArrow(_sets(words), "row long, shingles binary"), "sets")
+def _sets_of(docs: DataFrame, spokes: DataFrame, words: int) -> DataFrame:
+    """row and shingles of every class that shares a bucket. The texts are shuffled this once; all that follows takes sets from here."""
+    ids = stash(spokes.select(F.explode(F.array("rep", "centre")).alias("row")).distinct(), "pair-ids")
+    texts = docs.select("row", "text").join(ids, "row")
+    return stash(texts.mapInArrow(lean(_sets(words)), "row long, shingles binary"), "sets")
 
 
-def _star_links(docs: DataFrame, classes: DataFrame, spokes: DataFrame, words: int, percent: int) -> DataFrame:
+def _star_links(classes: DataFrame, spokes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between the members of buckets and their centres."""
     ends = stash(spokes.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "candidates")
     size = lambda end: classes.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"))
     sizes_allow = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     pairs = stash(ends.join(size("a"), "a").join(size("b"), "b").where(sizes_allow).select("a", "b"), "pairs")
     # b meets a: salt what many b share
-    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("row")), words)
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("long").alias("salts"))
     salted = stash(pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")), "salted")
-    # pairs are narrow: while they fit, they go to the sets; else both are shuffled
-    sent = F.broadcast if 24 * salted.count() <= SEND_BYTES else lambda df: df
-    left = sets.join(sent(salted.select(F.col("a").alias("row"), "salt").distinct()), "row").select(F.col("row").alias("a"), "salt", F.col("shingles").alias("x"))
-    right = sets.join(sent(salted.withColumn("row", F.col("b"))), "row").select("a", "salt", "b", F.col("shingles").alias("y"))
+    left = sets.join(salted.select(F.col("a").alias("row"), "salt").distinct(), "row").select(F.col("row").alias("a"), "salt", F.col("shingles").alias("x"))
+    right = sets.join(salted.withColumn("row", F.col("b")), "row").select("a", "salt", "b", F.col("shingles").alias("y"))
     met = left.join(right, ["a", "salt"])
-    return met.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
+    return met.select("a", "b", "x", "y").mapInArrow(lean(_confirm(percent)), "a long, b long")
 
 
 CELL = "key long, cell string, part int, band int, rep long, comp long, n long, bands array<long>"
 
 
-def _open_links(docs: DataFrame, classes: DataFrame, spokes: DataFrame, joined: DataFrame, words: int, percent: int) -> DataFrame:
+def _open_links(classes: DataFrame, spokes: DataFrame, sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that buckets still hold between the components ``joined`` (node, component).
 
     In a bucket the members of its centre's component need only meet the others, the strays; so
@@ -275,24 +270,24 @@ def _open_links(docs: DataFrame, classes: DataFrame, spokes: DataFrame, joined:
     of_main = F.transform(range_of(F.lit(0), F.col("strays")), lambda j: cell(j, "m", own, 1))
     cells = members.select("key", "band", "rep", "comp", F.explode(F.when(F.col("stray"), F.concat(with_later, with_earlier, with_main)).otherwise(of_main)).alias("at"))
     cells = cells.join(classes.select("rep", "n", "bands"), "rep").select("key", "at.cell", "at.part", "band", "rep", "comp", "n", "bands")
-    needed = stash(cells.groupBy("key", "cell").applyInArrow(_needed(percent), CELL), "open")
-    sets = _sets_of(docs, needed.select(F.col("rep").alias("row")), words)
+    needed = stash(cells.groupBy("key", "cell").applyInArrow(lean_group(_needed(percent)), CELL), "open")
     met = needed.join(sets.withColumnRenamed("row", "rep"), "rep")
-    return met.groupBy("key", "cell").applyInArrow(_meet(percent), "a long, b long")
+    return met.groupBy("key", "cell").applyInArrow(lean_group(_meet(percent)), "a long, b long")
 
 
 def _joined(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, component) of the classes (rep, n, bands) that links join to a smaller one."""
     spokes = stash(_spokes(classes), "spokes")
-    joined = stash(components(_star_links(docs, classes, spokes, words, percent)), "joined")
-    more = stash(_open_links(docs, classes, spokes, joined, words, percent), "more-links")
+    sets = _sets_of(docs, spokes, words)
+    joined = stash(components(_star_links(classes, spokes, sets, percent)), "joined")
+    more = stash(_open_links(classes, spokes, sets, joined, percent), "more-links")
     return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)) if more.limit(1).count() else joined
 
 
 def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """row, doc_id, n (shingles) and component (the first row of those that can be reached) of keyed documents."""
     schema = "row long, doc_id long, n long, one long, two long, bands array<long>"
-    sketches = stash(docs.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(_sketch(words), schema), "sketches")
+    sketches = stash(docs.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(lean(_sketch(words)), schema), "sketches")
     same = ["n", "one", "two"]
     classes = sketches.where("n > 0").groupBy(*same).agg(F.min("row").alias("rep"), F.min_by("bands", "row").alias("bands"))
     classes = stash(classes, "classes")
@@ -323,5 +318,18 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = SHINGLE, percent: int
     # in one struct, so that their names can't clash
     docs = keyed(docs.withColumn("_rest", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others))), "_rest")
     dropped = stash(_placed(docs, words, percent).where("row != component").select("row"), "dropped")
-    few = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, "row", "left_anti").select("doc_id", "text", *(F.col("_rest").getField(c).alias(c) for c in others))
+    return docs.join(dropped, "row", "left_anti").select("doc_id", "text", *(F.col("_rest").getField(c).alias(c) for c in others))
+
+
+#: DuckDB SQL for near_duplicates with four words and 80 hundredths, where doc_id is unique: all pairs, and reach by recursion.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+held AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM held a JOIN held b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+-- an id spreads over larger ones only: the smallest of a component still gets everywhere
+reach AS (SELECT doc_id, doc_id AS low FROM sets UNION SELECT l.y, r.low FROM reach r JOIN both_ways l ON l.x = r.doc_id WHERE r.low < l.y),
+named AS (SELECT doc_id, min(low) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN named USING (doc_id)
+"""
