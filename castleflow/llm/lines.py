@@ -1,6 +1,7 @@
 """Line dedup: winnowed line fingerprints, joined and extended to repeated runs of lines.
 
-Two plans share the engine of ``repeats``. In the first the symbols are the hashes of all
+Two plans share the engine of ``repeats``; texts are read once for both, and joined with the
+verdicts once. In the first the symbols are the hashes of all
 lines that aren't blank; a fingerprint is the smallest hash of each window of ``run_lines``
 lines, joined fingerprints are extended both ways, and a run of at least ``run_lines`` equal
 lines that also starts earlier goes. In the second the symbols are the lines of at least
@@ -19,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castleflow.llm.common import blocks, range_hash, sendable, utf8, word_bounds
-from castleflow.llm.repeats import Plan, covered, keyed, late_spans
-from castleflow.llm.substrings import extend
+from castleflow.llm.common import blocks, lean, range_hash, utf8, word_bounds
+from castleflow.llm.repeats import Plan, covered, keyed, late_spans_at_once
 
 RUN_LINES = 2
 LONG_WORDS = 50
@@ -78,7 +78,8 @@ def _finish(run_lines: int, long_words: int, extra: list[str], with_text: bool):
                     n_lines.append(hi - lo)
                     n_removed.append(cut)
                     digest.append(hashlib.sha256(kept).hexdigest())
-                    texts.append(kept if given[i].is_valid else None)
+                    if with_text:
+                        texts.append(kept if given[i].is_valid else None)
             out = {c: batch.column(c) for c in ["doc_id", *extra]}
             out |= {"n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
             if with_text:
@@ -99,14 +100,12 @@ def dedup_lines(docs: DataFrame, *, run_lines: int = RUN_LINES, long_words: int
     aren't named in ``keep`` are ignored; an empty table gives an empty result.
     """
     docs = keyed(docs, *keep)
-    runs = late_spans(docs, Plan(line_symbols, run_lines, 1), extend, np.uint64, "lines", few=True)
-    longs = late_spans(docs, Plan(long_line_symbols(long_words), 1, 1), extend, np.uint64, "long-lines", few=True).withColumnRenamed("spans", "long_spans")
-    weight = 24 + 8 * (F.coalesce(F.size("spans"), F.lit(0)) + F.coalesce(F.size("long_spans"), F.lit(0)))
-    late = sendable(runs.join(longs, "row", "full"), weight, "late-lines")
+    late = late_spans_at_once(docs, (Plan(line_symbols, run_lines, 1), Plan(long_line_symbols(long_words), 1, 1)))
+    late = late.withColumnsRenamed({"spans_0": "spans", "spans_1": "long_spans"})
     types = dict(docs.dtypes)
     schema = ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in keep), "n_lines long", "n_removed long", "kept_sha256 string", *["kept string"] * with_text])
     table = docs.join(late, "row", "left").select(F.col("doc_id").cast("long"), "text", *keep, "spans", "long_spans")
-    return table.mapInArrow(_finish(run_lines, long_words, list(keep), with_text), schema)
+    return table.mapInArrow(lean(_finish(run_lines, long_words, list(keep), with_text)), schema)
 
 
 #: DuckDB SQL for doc_id, n_lines, n_removed and kept_sha256, where doc_id is unique.

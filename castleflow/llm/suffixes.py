@@ -11,8 +11,9 @@ renamed, and no shorter string is sorted in between.
 A corpus is too long for one array. Runs of windows that share an anchor meet in one bucket
 (see ``repeats``), so that whatever repeats does so inside a bucket, and each bucket has an
 array of its own. Before it is built, windows whose hash is unique in the bucket are cut off,
-since they repeat nothing, and equal strings are laid together. The array decides the rest
-byte by byte: neighbours in its order that agree in a whole window are one class.
+since they repeat nothing, and equal strings are laid together. A hash never makes two windows
+equal: the array decides byte by byte; neighbours in its order that agree in a whole window are
+one class.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from castleflow.llm.common import blocks, utf8
-from castleflow.llm.repeats import Bucket, Plan, covered, keyed, late_spans, window_classes
+from castleflow.llm.common import blocks, lean, range_hash, utf8
+from castleflow.llm.repeats import Bucket, Plan, covered, keyed, late_spans
 
 BYTES = 100
 GRAM = 32
@@ -108,14 +109,31 @@ def _group(text: np.ndarray) -> tuple[list[int], list[int], list[int], list[int]
     return group, prev, size, above
 
 
+def _may_repeat(bucket: Bucket, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Run and offset of the windows whose hash occurs again in the bucket.
+
+    Only a filter: what it leaves out differs from all others; what it keeps the array judges.
+    """
+    run = np.repeat(np.arange(len(bucket.count)), bucket.count)
+    offset = np.arange(len(run)) - np.repeat(np.cumsum(bucket.count) - bucket.count, bucket.count)
+    begin = bucket.first[run] + offset
+    found = _filter_hash(bucket.symbols, begin, begin + window)
+    order = np.argsort(found, kind="stable")
+    same = found[order][1:] == found[order][:-1]
+    again = np.zeros(len(run), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    return run[again], offset[again]
+
+
+_filter_hash = range_hash
+
+
 def _distinct(bucket: Bucket, window: int) -> tuple[list[bytes], np.ndarray, np.ndarray, pa.Table]:
     """The bucket's strings of windows that may repeat, each content once, with the row and start of its first.
 
     The table holds the spans of the other copies, all of whose windows are late.
     """
-    run, offset, label = window_classes(bucket, window)
-    again = np.bincount(label)[label] > 1
-    run, offset = run[again], offset[again]
+    run, offset = _may_repeat(bucket, window)
     new = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (offset[1:] != offset[:-1] + 1)]) if len(run) else np.zeros(0, int)
     count = np.diff(np.r_[new, len(run)])
     begin = bucket.first[run[new]] + offset[new]
@@ -165,7 +183,7 @@ def _late_windows(texts: list[bytes], row: np.ndarray, start: np.ndarray, window
     return _spans(row[of[new]], start[of[new]] + place[new], np.diff(np.r_[new, len(of)]))
 
 
-def sort_suffixes(bucket: Bucket, window: int) -> pa.Table:
+def sort_suffixes(bucket: Bucket, window: int, gram: int) -> pa.Table:
     """Late windows of a bucket, cut between anchors into arrays of bounded length."""
     order = np.argsort(bucket.anchor, kind="stable")
     length = bucket.count[order] - 1 + window
@@ -204,7 +222,8 @@ def _finish(window: int, with_text: bool):
                     n_spans.append(int(np.count_nonzero(cut[1:] & ~cut[:-1])) + int(cut[:1].sum()) if n_removed[-1] else 0)
                     kept = text[~cut].tobytes() if n_removed[-1] else text.tobytes()
                     digest.append(hashlib.sha256(kept).hexdigest())
-                    texts.append(kept)
+                    if with_text:
+                        texts.append(kept)
             out = {"doc_id": batch.column("doc_id"), "n_bytes": pa.array(np.diff(offs), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
             if with_text:
                 out["kept"] = pa.array(texts, pa.binary())
@@ -225,4 +244,24 @@ def dedup_suffixes(docs: DataFrame, *, n_bytes: int = BYTES, with_text: bool = T
     docs = keyed(docs)
     late = late_spans(docs, Plan(byte_symbols, n_bytes, min(GRAM, n_bytes)), sort_suffixes, np.uint8, "suffixes")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return docs.join(late, "row", "left").select("doc_id", "text", "spans").mapInArrow(_finish(n_bytes, with_text), schema)
+    return docs.join(late, "row", "left").select("doc_id", "text", "spans").mapInArrow(lean(_finish(n_bytes, with_text)), schema)
+
+
+#: DuckDB SQL for the columns without the kept bytes, at 100 bytes, where doc_id is unique. Bytes are pairs of hexadecimal digits.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+places AS (SELECT doc_id, unnest(b) AS s1, generate_subscripts(b, 1) AS i FROM d),
+-- strings of 100 bytes, by doubling: 64 and 32 and 4
+s2 AS (SELECT *, s1 || lead(s1, 1) OVER (PARTITION BY doc_id ORDER BY i) AS s2 FROM places),
+s4 AS (SELECT *, s2 || lead(s2, 2) OVER (PARTITION BY doc_id ORDER BY i) AS s4 FROM s2),
+s8 AS (SELECT *, s4 || lead(s4, 4) OVER (PARTITION BY doc_id ORDER BY i) AS s8 FROM s4),
+s16 AS (SELECT *, s8 || lead(s8, 8) OVER (PARTITION BY doc_id ORDER BY i) AS s16 FROM s8),
+s32 AS (SELECT *, s16 || lead(s16, 16) OVER (PARTITION BY doc_id ORDER BY i) AS s32 FROM s16),
+s64 AS (SELECT *, s32 || lead(s32, 32) OVER (PARTITION BY doc_id ORDER BY i) AS s64 FROM s32),
+windows AS (SELECT doc_id, i, md5(s64 || lead(s32, 64) OVER w || lead(s4, 96) OVER w) AS h FROM s64 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+judged AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1 AS late FROM windows WHERE h IS NOT NULL),
+covered AS (SELECT doc_id, i, s1, coalesce(max(CAST(late AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 0) AS cut FROM places LEFT JOIN judged USING (doc_id, i)),
+spans AS (SELECT *, cut = 1 AND coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS begins FROM covered)
+SELECT d.doc_id, CAST(len(any_value(d.b)) AS BIGINT) AS n_bytes, CAST(coalesce(sum(cut), 0) AS BIGINT) AS n_removed, CAST(count(*) FILTER (begins) AS BIGINT) AS n_spans, sha256(unhex(coalesce(string_agg(s1, '' ORDER BY i) FILTER (cut = 0), ''))) AS kept_sha256
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+"""
