@@ -26,12 +26,19 @@ from castleflow.llm.common import stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
+SEED = 20240607
 
 
 def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def seeded(seed: int, doc_id: Column) -> Column:
+    """A number of 60 bits that depends on the seed and the id alone."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    return F.conv(F.left(F.md5(text.cast("binary")), F.lit(15)), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0) -> DataFrame:
     """(source, source_size) with the columns party, weight and target added."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -72,7 +79,7 @@ def apportion(parties: DataFrame, key: list[str], party: str, votes: str, house:
     return bounds.join(won, [*key, party], "left").select(*parties.columns, seats.alias("seats"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, block_tokens: int = 64, shard_tokens: int = 1_000_000, seed: int = 20240607) -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, block_tokens: int = 64, shard_tokens: int = 1_000_000, seed: int = SEED) -> DataFrame:
     """Words that a mix of all sources takes from each document.
 
     ``docs`` needs doc_id, text and source; other columns are ignored. Returns one row per
@@ -82,7 +89,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, bl
     that their order does not matter. An empty table gives an empty result. Blocks hold
     ``block_tokens`` words, fewer where the smallest target would be under 200 blocks.
     """
-    order = F.xxhash64(F.lit(seed), "doc_id")
+    order = seeded(seed, F.col("doc_id"))
     sized = stash(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), order.alias("draw")), "mix-sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, float(cap))
     everyone = Window.partitionBy()
@@ -105,3 +112,26 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, bl
     more = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("_end") - F.col("size"))))
     taken = F.least(F.lit(cap) * F.col("size"), rounds * F.col("size") + more).cast("long")
     return placed.withColumn("_end", end).join(quotas, ["party", "shard"]).select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"))
+
+
+#: DuckDB SQL for mix with its defaults, where doc_id is unique: the same shares, seats by ranking all quotients.
+ORACLE = rf"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || left(md5('{SEED}:' || doc_id), 15) AS BIGINT) AS draw FROM documents),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+named AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS party, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS room FROM sizes),
+levels AS (SELECT *, room / weight AS fullness, row_number() OVER (ORDER BY room / weight, party) AS place, (sum(source_size) OVER () - coalesce(sum(room) OVER before, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0.0)) AS level FROM named
+  WINDOW before AS (ORDER BY room / weight, party ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+water AS (SELECT arg_min(level, place) AS water FROM levels WHERE fullness >= level),
+aimed AS (SELECT source, source_size, party, least(room, coalesce(water, fullness) * weight) AS target FROM levels LEFT JOIN water ON true),
+blocks AS (SELECT *, CAST(greatest(1, least(64, floor(coalesce(min(target) FILTER (target > 0) OVER (), 0.0) / 200))) AS BIGINT) AS block, greatest(1, CAST(ceil(source_size / 1000000) AS BIGINT)) AS shards FROM aimed),
+houses AS (SELECT *, CAST(round(sum(target) OVER () / block) AS BIGINT) AS house FROM blocks),
+won AS (SELECT party, count(*) AS blocks FROM (SELECT party, house, row_number() OVER (ORDER BY target / (2 * j - 1) DESC, party, j) AS place FROM (SELECT *, unnest(generate_series(1, CAST(ceil(target * house / (SELECT sum(target) FROM houses)) AS BIGINT) + (SELECT count(*) FROM houses))) AS j FROM houses WHERE target > 0)) WHERE place <= house GROUP BY party),
+sources AS (SELECT h.*, coalesce(w.blocks, 0) AS won FROM houses h LEFT JOIN won w USING (party)),
+placed AS (SELECT d.*, s.source_size, s.target, s.party, s.block, s.won, d.draw % s.shards AS shard FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
+shards AS (SELECT party, shard, any_value(won) AS house, any_value(block) AS block, CAST(sum(size) AS BIGINT) AS shard_size FROM placed GROUP BY ALL),
+seats AS (SELECT party, shard, count(*) AS seats FROM (SELECT party, shard, house, row_number() OVER (PARTITION BY party ORDER BY shard_size / (2 * j - 1) DESC, shard, j) AS place
+  FROM (SELECT *, unnest(generate_series(1, CAST(ceil(shard_size * house / (SELECT sum(x.shard_size) FROM shards x WHERE x.party = shards.party)) AS BIGINT) + (SELECT count(*) FROM shards x WHERE x.party = shards.party))) AS j FROM shards WHERE shard_size > 0)) WHERE place <= house GROUP BY ALL),
+quotas AS (SELECT h.party, h.shard, h.shard_size, coalesce(q.seats, 0) * h.block AS quota FROM shards h LEFT JOIN seats q USING (party, shard)),
+streams AS (SELECT p.*, q.shard_size, q.quota, sum(size) OVER (PARTITION BY p.party, p.shard ORDER BY draw, doc_id) AS upto, CASE WHEN q.shard_size > 0 THEN q.quota // q.shard_size ELSE 0 END AS rounds FROM placed p JOIN quotas q USING (party, shard))
+SELECT doc_id, size, source_size, target, CAST(least(3 * size, rounds * size + greatest(0, least(size, quota - rounds * shard_size - (upto - size)))) AS BIGINT) AS taken FROM streams
+"""

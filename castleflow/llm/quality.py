@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from castleflow.llm.common import blocks, range_hash, utf8, word_bounds
+from castleflow.llm.common import blocks, lean, range_hash, utf8, word_bounds
 
 #: Labelled rows that are learned from at most: those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -82,7 +82,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with the statistics of its text, as columns _n_words and so on."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"_{s} double" for s in STATISTICS)])
-    return docs.mapInArrow(_measure, schema)
+    return docs.mapInArrow(lean(_measure), schema)
 
 
 # --- learning -----------------------------------------------------------------------------
@@ -207,15 +207,16 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     # bounded by ``sample`` rows of two numbers, and so safe to broadcast
-    rows = measured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).drop("text").toPandas()
-    rows = rows.sort_values(list(rows.columns), kind="stable")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # an id may stand in many rows: the bound holds for what reaches the driver too
+    rows = measured(met).drop("text").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *[f"_{s}" for s in STATISTICS]).limit(sample).toPandas()
     return learn(rows[[f"_{s}" for s in STATISTICS]].to_numpy(float), (rows["quality"] > 0).to_numpy(float))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with its score as a column _score; the statistics use the whole text."""
-    scored = measured(docs).withColumn("_score", model.column())
-    return scored.select(*(f"`{c}`" for c in docs.columns), "_score")
+    """text, _docs (a struct of all other columns, so that no name can clash) and _score; the statistics use the whole text."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return measured(docs.select("text", F.struct(*others).alias("_docs"))).select("text", "_docs", model.column().alias("_score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -226,10 +227,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, thresh
     any label the score is 0.5; with one kind of label only, it is the same for all.
     """
     scored = score(docs.select("doc_id", "text"), train(docs, labels, sample=sample))
-    predicted = F.when(F.col("_score") >= threshold, 1).otherwise(0)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), predicted.alias("predicted"))
+    doc_id, predicted = F.col("_docs.doc_id"), F.when(F.col("_score") >= threshold, 1).otherwise(0)
+    return scored.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), F.col("_score").alias("score"), predicted.alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, whose score reaches ``threshold``. Cases as in ``classify``."""
-    return score(docs, train(docs, labels, sample=sample)).where(F.col("_score") >= threshold).drop("_score")
+    good = score(docs, train(docs, labels, sample=sample)).where(F.col("_score") >= threshold)
+    return good.select(*[F.col("text") if c == "text" else F.col("_docs").getField(c).alias(c) for c in docs.columns])

@@ -34,7 +34,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.find_licenses(documents(spark, sf_dir))
+    return licenses.find_licenses(documents(spark, sf_dir), with_spans=False)
 
 
 def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,5 +63,12 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffixes": suffixes.ORACLE,
+    "op2_neighbours": neighbours.ORACLE,
+    "op3_secrets": secrets.oracle(),
+    "op4_mixing": mixing.ORACLE,
+    "op6_minhash": minhash.ORACLE,
+    "op7_licenses": licenses.oracle(),
+    "op9_substrings": substrings.ORACLE,
     "op10_lines": lines.ORACLE,
 }
