@@ -58,6 +58,23 @@ def test_licenses(spark, none):
     assert licenses.find_licenses(none).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_license_texts(spark):
+    bsd = "Neither the name of Example Org nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    must = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    texts = [MIT, MIT.replace("merge, ", ""), MIT.replace(", to any person", " to every person"), must + "3. " + bsd, must + bsd.replace("prior ", ""), "made available under the terms of the Eclipse Public License v. 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"]
+    got = {r["doc_id"]: r for r in licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(6)] == ["mit", "", "", "bsd-3-clause", "", "epl-2.0"]
+    words = len(re.findall("[a-z0-9]+", MIT.lower()))
+    assert got[0]["readings"] == f"mit:0:{words}"
+
+
 def highest(votes, seats):
     heap, out = [(-v, p, 1) for p, v in votes.items() if v > 0], dict.fromkeys(votes, 0)
     heapq.heapify(heap)
