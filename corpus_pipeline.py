@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from castleflow.llm import leaks, lines, minhash, mixing, quality
 from castleflow.llm.common import documents, stash
 from castleflow.llm.repeats import keyed
+from castleflow.operators.shared import discard, recorded
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -64,7 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The rows of the last stage. What a stage wrote on its way, and its input, goes once its result is written."""
+    docs, own = documents(spark, sf_dir), []
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with recorded() as written:
+            docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(spark, [*own, *written[:-1]])
+        own = written[-1:]
     return docs
