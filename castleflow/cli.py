@@ -224,6 +224,10 @@ def report_months(app: App, args: argparse.Namespace) -> int:
 
 def _export(kind: str, frame: Callable[[Archive, str | None], DataFrame]):
     def verb(app: App, args: argparse.Namespace) -> int:
+        if args.folder:
+            export.write_folder(frame(app.archive(args), args.provider), args.folder, args.format)
+            print(f"exported {kind} to {args.folder}")
+            return 0
         n = export.write_file(frame(app.archive(args), args.provider), args.output, args.format)
         if args.output:
             print(f"exported {n} {kind} to {args.output}")
@@ -288,7 +292,7 @@ def parser() -> argparse.ArgumentParser:
     verb(g, "games-by-month", report_months, "games of each month", opt("--provider", choices=KEYS, required=True))
     g = group("export", "exports")
     for name, (kind, frame) in EXPORTS.items():
-        verb(g, name, _export(name, frame), f"{name} as {kind}", opt("--format", choices=(kind,), required=True), opt("--output", type=Path), opt("--provider", choices=KEYS))
+        verb(g, name, _export(name, frame), f"{name} as {kind}", opt("--format", choices=(kind,), required=True), opt("--output", type=Path), opt("--folder", help="write many files in parallel to this folder"), opt("--provider", choices=KEYS))
     return top
 
 

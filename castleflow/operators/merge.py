@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from castleflow.operators.shared import settle
+from castleflow.operators.stars import components
 
 POLICIES = ("first", "last", "first_non_null", "last_non_null", "min", "max")
 
@@ -103,18 +104,13 @@ def number_from(rows: DataFrame, order: list[str], start: int, name: str = "id")
 def identities(records: DataFrame, record: str, tokens: Column) -> DataFrame:
     """(record, entity): records that share any of their ``tokens`` (an array) are one entity, named by its smallest record.
 
-    Labels travel over tokens until none changes; payloads that carry their ids settle at once.
+    Each token ties its records to the smallest of them; the entities are the components of these ties.
     """
     pairs = settle(records.select(F.col(record).alias("record"), F.explode(F.array_compact(tokens)).alias("token")), "tokens")
-    label = records.select(F.col(record).alias("record"), F.col(record).alias("entity"))
-    while True:
-        low = pairs.join(label, "record").groupBy("token").agg(F.min("entity").alias("low"))
-        seen = pairs.join(low, "token").groupBy("record").agg(F.min("low").alias("low"))
-        new = settle(label.join(seen, "record", "left").select("record", "entity", F.least("entity", F.coalesce("low", "entity")).alias("low")), "labels")
-        changed = new.where("low < entity").limit(1).count()
-        label = new.select("record", F.col("low").alias("entity"))
-        if not changed:
-            return label
+    low = pairs.groupBy("token").agg(F.min("record").alias("low"))
+    ties = pairs.join(low, "token").where("record != low").select(F.col("record").alias("a"), F.col("low").alias("b"))
+    named = components(ties).select(F.col("node").alias("record"), F.col("component").alias("entity"))
+    return records.select(F.col(record).alias("record")).join(named, "record", "left").select("record", F.coalesce("entity", "record").alias("entity"))
 
 
 def missing_references(rows: DataFrame, column: str, other: DataFrame, key: str) -> DataFrame:

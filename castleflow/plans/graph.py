@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from castleflow.operators import stars
 from castleflow.operators.shared import settle
 
 
@@ -89,23 +90,8 @@ def reachable(neighbours: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def components(neighbours: DataFrame) -> DataFrame:
-    """(provider, user_id, component): the smallest user that links lead to, over links in either direction.
-
-    Alternating large and small stars: hubs are met by joins on their minimum and never collected.
-    """
-    ends = neighbours.where("user_id != opponent_id").select("provider", F.greatest("user_id", "opponent_id").alias("a"), F.least("user_id", "opponent_id").alias("b"))
-    edges, before = settle(ends.distinct(), "stars"), None
-    while True:
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("provider", "a", "b").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
-        both = edges.unionByName(edges.select("provider", F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("provider", "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, ["provider", "a"]).where("b != m").select("provider", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("provider", "a").agg(F.min("b").alias("m"))
-        small = large.join(low, ["provider", "a"]).where("b != m").select("provider", F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = settle(small.unionByName(low.select("provider", "a", F.col("m").alias("b"))).distinct(), "stars")
+    """(provider, user_id, component): the smallest user that links lead to, over links in either direction."""
+    links = neighbours.select("provider", F.col("user_id").alias("a"), F.col("opponent_id").alias("b"))
     nodes = neighbours.select("provider", "user_id").unionByName(neighbours.select("provider", F.col("opponent_id").alias("user_id"))).distinct()
-    named = edges.select("provider", F.col("a").alias("user_id"), F.col("b").alias("component"))
+    named = stars.components(links, ("provider",)).withColumnRenamed("node", "user_id")
     return nodes.join(named, ["provider", "user_id"], "left").withColumn("component", F.coalesce("component", "user_id"))

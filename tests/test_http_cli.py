@@ -117,6 +117,9 @@ def test_workflow(app, capsys, tmp_path):
     found = [json.loads(x) for x in games.read_text().splitlines()]
     assert len(found) == 3 and list(found[0]) == sorted(found[0]) and found[0]["rated"] == 1 and {g["outcome"] for g in found} == {"white_win", None, "black_win"}
     assert app("export", "graph", "--format", "csv", "--output", str(graph)) == 0
+    capsys.readouterr()
+    assert app("export", "games", "--format", "jsonl", "--folder", f"file://{tmp_path}/many") == 0 and "exported games" in capsys.readouterr().out
+    assert sum(len(f.read_text().splitlines()) for f in (tmp_path / "many").glob("part-*")) == 3
     head, line = graph.read_text().splitlines()
     assert head.startswith("provider,crawl_run_id,from_username") and line.startswith("lichess,1,marigold,quillwort")
     assert app("export", "users", "--format", "jsonl", "--provider", "lichess") == 0 and '"username_normalized":"marigold"' in capsys.readouterr().out
