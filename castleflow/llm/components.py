@@ -1,37 +1,5 @@
-"""Connected components of an undirected graph, by alternating large and small stars.
+"""Connected components of the links between documents."""
 
-(Kiveris et al., "Connected Components in MapReduce and Beyond", SoCC 2014.) Every step is a
-minimum per node and a join, so that a node with very many neighbours is never collected.
-"""
+from castleflow.operators.stars import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from castleflow.llm.common import stash
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest reachable node, for each node that an edge (a, b) names and that isn't smallest itself."""
-    seen = None
-    edges = stash(edges.where("a != b").select("a", "b").distinct(), "edges")
-    while True:
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = mark
-        edges = stash(_small_star(_large_star(edges)), "edges")
+__all__ = ["components"]

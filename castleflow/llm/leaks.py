@@ -36,6 +36,8 @@ ITEMS = 1024
 #: Items that are counted together; a group holds several such spaces.
 SPACE = 256
 STEP, PASSAGE = 8, 64
+#: Texts that are put in lower case at a time.
+ROWS = 512
 #: Steps whose windows are counted at a time.
 CHUNK = 8192
 SHARE, ANSWER, SURE = 0.6, 0.5, 0.9
@@ -71,10 +73,10 @@ class Vocabulary:
 
 def _text_blocks(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        raw, offs = utf8(pc.utf8_lower(batch.column("text")))
-        # each word in a block takes a row of the latent basis while it is projected
-        for a, b in blocks(offs, BLOCK_BYTES // 2):
-            yield batch, a, *words_of(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+        for at in range(0, batch.num_rows, ROWS):  # so that a batch is never there twice
+            raw, offs = utf8(pc.utf8_lower(batch.column("text").slice(at, ROWS)))
+            for a, b in blocks(offs, BLOCK_BYTES // 2):
+                yield batch, at + a, *words_of(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
 
 
 def _frequencies(vocabulary: Vocabulary):

@@ -117,7 +117,8 @@ def runs(sym: np.ndarray, first: np.ndarray, plan: Plan) -> tuple[np.ndarray, ..
     count, start, anchor = np.diff(np.r_[new, len(start)]), start[new], anchor[new]
     doc = np.searchsorted(first, start, "right") - 1
     content = range_hash(sym, start, start + count - 1 + plan.window, SECOND) + mix64((anchor - start).astype(np.uint64))
-    return grams[anchor], content, doc, start - first[doc], count
+    # minima crowd at the low end of the hashes: spread them, since they are dealt to buckets by their high bits
+    return mix64(grams[anchor]), content, doc, start - first[doc], count
 
 
 def _long_runs(sym: np.ndarray, first: np.ndarray, plan: Plan) -> tuple[np.ndarray, ...]:
@@ -471,7 +472,7 @@ def extend(bucket: Bucket, window: int, gram: int) -> pa.Table:
 def _seed_places(bucket: Bucket, window: int, gram: int) -> np.ndarray:
     """Where in its run each seed stands: the first gram of its first window with the anchor's hash."""
     at = np.arange(max(0, len(bucket.symbols) - gram + 1))
-    grams = range_hash(bucket.symbols, at, at + gram)
+    grams = mix64(range_hash(bucket.symbols, at, at + gram))
     place = np.full(len(bucket.count), -1)
     for k in range(window - gram, -1, -1):
         place[grams[bucket.first[:-1] + k] == bucket.anchor] = k
