@@ -39,7 +39,7 @@ STEP, PASSAGE = 8, 64
 #: Texts that are put in lower case at a time.
 ROWS = 512
 #: Steps whose windows are counted at a time.
-CHUNK = 8192
+CHUNK = 2048
 SHARE, ANSWER, SURE = 0.6, 0.5, 0.9
 #: Items of fewer words would be met by chance in part; they are matched whole.
 LEAST_WORDS = 5
@@ -180,7 +180,7 @@ def _search_space(space: Space, words, first, cuts, doc, step, number, rank, nor
             continue
         head = np.flatnonzero(np.r_[True, step[lo + 1 : hi] != step[lo : hi - 1]])
         total = np.zeros((b - a + 1, len(space.items)), kind)
-        total[step[lo:hi][head] - a + 1] = np.add.reduceat(space.held[line[lo:hi]], head)
+        total[step[lo:hi][head] - a + 1] = np.add.reduceat(space.held[line[lo:hi]], head, dtype=kind)
         np.cumsum(total, axis=0, dtype=kind, out=total)
         w = np.arange(a, min(n, a + CHUNK))
         for steps, own, least in groups:
