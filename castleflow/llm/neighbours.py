@@ -7,9 +7,9 @@ angle are those with the largest inner product. Every vector is posted in the in
 of its ``prefix`` nearest pivots, with the pivot's place. A query opens the files of its
 ``probe`` nearest pivots and sums footrule distances; the best tenth is reranked exactly.
 
-All rows are indexed. A large table is cut into cells around the rows of a sample that grows with
-it, up to a bound, and a query visits a fixed number of cells, those with the nearest centres; so
-the work grows with the rows and not with their square. A cell that holds many rows is cut again,
+All rows are indexed. Every table is cut into cells around the rows of a sample that grows with
+it, up to a bound, and a query visits a fixed number of cells, those with the nearest centres (all,
+while there are no more); so the work grows with the rows and not with their square. A cell that holds many rows is cut again,
 by a hash, into blocks of bounded size, and its queries into groups, each of which meets each
 block of its cells once. Equal vectors of a block are one entry that keeps its
 smallest ids, since no more of them can be among the nearest. Blocks send on each query's best
@@ -156,13 +156,13 @@ def _search(space: Space, k: int, prefix: int, probe: int, share: float, least:
 def _cells(centres: np.ndarray, norm: float, visits: int):
     """Rows with the cell of their nearest centre, or with each of the ``visits`` cells whose centres are nearest to a query.
 
-    Without centres, and for vectors of another length than theirs, there is one cell. ``visits`` is 0 for rows.
+    For vectors of another length than the centres' there is one cell. ``visits`` is 0 for rows.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = np.diff(batch.column("embedding").offsets.to_numpy())
-            known = np.flatnonzero(lengths == centres.shape[1] - 1) if len(centres) else np.zeros(0, int)
+            known = np.flatnonzero(lengths == centres.shape[1] - 1)
             other = np.setdiff1d(np.arange(len(lengths)), known)
             take, cells = [other], [np.full(len(other), -1)]
             for a in range(0, len(known), 1024):
@@ -170,8 +170,8 @@ def _cells(centres: np.ndarray, norm: float, visits: int):
                 _, x = _matrix(pa.Table.from_batches([batch.take(pa.array(at))]))
                 # a query is a direction on the sphere that all vectors are lengthened to
                 near = (np.hstack([x, np.zeros((len(x), 1))]) if visits else _longer(x, norm)) @ centres.T
-                n = max(1, visits)
-                found = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < len(centres) else np.tile(np.arange(len(centres)), (len(x), 1))
+                n = min(max(1, visits), len(centres))
+                found = np.argpartition(-near, n - 1, axis=1)[:, :n]
                 take.append(np.repeat(at, found.shape[1]))
                 cells.append(found.ravel())
             out = batch.take(pa.array(np.concatenate(take)))
@@ -210,8 +210,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, pivots: int =
     sample = vectors.where(F.col("d") == most["d"]).orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(max(pivots, cells)).select("embedding").collect()
     sample, norm = np.array([r["embedding"] for r in sample], np.float64), float(np.sqrt(most["s"]))
     space = Space.of(sample[:pivots], norm)
-    # a table of no more cells than a query visits is not cut
-    centres = np.unique(_longer(sample[:cells], norm), axis=0) if cells > visits else np.zeros((0, 0))
+    centres = np.unique(_longer(sample[:cells], norm), axis=0)
     schema = "vec_id long, embedding array<double>, d int, cell long"
     rows = vectors.mapInArrow(lean(_cells(centres, norm, 0)), schema)
     queries = vectors.where(is_query).mapInArrow(lean(_cells(centres, norm, visits)), schema)

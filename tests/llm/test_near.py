@@ -161,6 +161,16 @@ def test_neighbours_in_cells(spark, monkeypatch):
     assert hits / 800 >= 0.9
 
 
+def test_tables_of_few_cells_are_cut_like_larger_ones(spark, monkeypatch):
+    # pivots that say next to nothing: of a table that is searched as one block, most neighbours would be missed
+    monkeypatch.setattr(neighbours, "CELL", 40)
+    v = np.random.default_rng(3).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    for visits in (10, 11, 64):  # all of the ten cells
+        got = found_by_query(neighbours.nearest(df, F.col("vec_id") % 20 == 0, pivots=2, prefix=1, probe=1, share=0.001, least=250, visits=visits, k=5).collect())
+        assert got == {q: brute(v, q)[:5] for q in range(0, 400, 20)}
+
+
 def test_vectors_of_other_lengths_meet_their_like(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)] + [(100 + i, [1.0, float(i), 2.0]) for i in range(6)] + [(200, [5.0])], "vec_id long, embedding array<double>")
     got = found_by_query(neighbours.nearest(df, F.col("vec_id") % 100 == 0, k=3).collect())
